@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamnan.functions.cluster import broadcast_if_small
+from tamnan.functions.cluster import BROADCAST_ROWS
 from tamnan.operators.text import tokens
 
 
@@ -45,13 +45,24 @@ def postings(docs: DataFrame) -> DataFrame:
     return cut.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def terms(index: DataFrame, n_docs: int, p: Params = P) -> DataFrame:
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """(term, df): each document counts a term once before anything is shuffled."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _raw_idf(n_docs: int) -> Column:
+    return F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def mean_idf(df: DataFrame, n_docs: int) -> float:
+    """Mean over all terms, before negative values are replaced."""
+    return float(df.agg(F.avg(_raw_idf(n_docs))).first()[0] or 0.0)
+
+
+def terms(df: DataFrame, n_docs: int, mean: float, p: Params = P) -> DataFrame:
     """(term, df, idf): logarithmic idf; a negative one becomes a share of the mean over all terms."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    joined = raw.withColumn("one", F.lit(1)).join(F.broadcast(mean.withColumn("one", F.lit(1))), "one")
-    return joined.select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * p.negative_idf).otherwise(F.col("raw")).alias("idf"))
+    raw = _raw_idf(n_docs)
+    return df.select("term", "df", F.when(raw < 0, F.lit(mean * p.negative_idf)).otherwise(raw).alias("idf"))
 
 
 def corpus_size(docs: DataFrame) -> tuple[int, float]:
@@ -66,12 +77,22 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, p: Params = P) -> DataFrame:
-    """(qid, doc_id, score) of all documents that share a term with a query."""
+    """(qid, doc_id, score) of all documents that share a term with a query.
+
+    Tokens are held against the broadcast query terms before they are counted, so only matching
+    postings are shuffled; document frequencies of all terms enter as one mean.
+    """
     n, avgdl = corpus_size(docs)
-    index = postings(docs)
-    wanted = broadcast_if_small(query_terms(queries))
-    weights = terms(index, n, p)
-    hits = index.join(wanted, "term").join(broadcast_if_small(weights.join(wanted.select("term").distinct(), "term", "left_semi").select("term", "idf")), "term")
+    df = document_frequency(docs)
+    wanted = query_terms(queries)
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda x: x)
+    vocabulary = small(wanted.select("term").distinct())
+    cut = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    index = cut.join(vocabulary, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    own = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weights = terms(own, n, mean_idf(df, n), p).select("term", "idf").join(wanted, "term")  # as many rows as the block has terms
+    hits = index.join(small(weights), "term")
     norm = p.k1 * (1 - p.b + p.b * F.col("dl") / avgdl)
     part = F.col("n") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
@@ -85,8 +106,11 @@ def dot(a: Column, b: Column) -> Column:
 def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(qid, doc_id, score): a bounded block of query vectors (qid, v) against all ``vectors`` (doc_id, embedding).
 
-    The block travels to the vectors as one array, so no vector is shuffled or repeated.
+    The block travels to the vectors as one array, so no vector is shuffled or repeated; larger blocks
+    must be taken in parts.
     """
+    if queries.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} query vectors in one block")
     block = queries.groupBy().agg(F.collect_list(F.struct("qid", "v")).alias("block")).withColumn("one", F.lit(1))
     scored = vectors.withColumn("one", F.lit(1)).join(F.broadcast(block), "one")
     return scored.select("doc_id", "embedding", F.explode("block").alias("q")).select("q.qid", "doc_id", dot(F.col("embedding"), F.col("q.v")).alias("score"))

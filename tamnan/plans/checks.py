@@ -136,35 +136,36 @@ def _standing(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy(F.upper(F.trim("id")).alias("id"), "assessor").agg(last).select("id", "assessor", F.col("m.code").alias("code"), F.col("m.note").alias("note"))
 
 
-_RIGHT = F.col("code").isin(1, 2)
+def _right():
+    return F.col("code").isin(1, 2)
 
 
 @register(f"WITH {_STANDING} SELECT assessor, count(*) AS n, count(*) FILTER (code IN (1, 2)) AS correct, round(count(*) FILTER (code IN (1, 2)) / count(*), 6) AS accuracy, count(*) FILTER (code = 0) AS c0, count(*) FILTER (code = 3) AS c3 FROM s GROUP BY 1")
 def rater_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     code = lambda k: F.count_if(F.col("code") == k).alias(f"c{k}")
-    return _standing(spark, sf).groupBy("assessor").agg(F.count("*").alias("n"), F.count_if(_RIGHT).alias("correct"), F.round(F.count_if(_RIGHT) / F.count("*"), 6).alias("accuracy"), code(0), code(3))
+    return _standing(spark, sf).groupBy("assessor").agg(F.count("*").alias("n"), F.count_if(_right()).alias("correct"), F.round(F.count_if(_right()) / F.count("*"), 6).alias("accuracy"), code(0), code(3))
 
 
 @register(f"WITH {_STANDING} SELECT coalesce(assessor, 'all') AS assessor, count(*) AS n, count(*) FILTER (code IN (1, 2)) AS correct FROM s GROUP BY ROLLUP (assessor)")
 def rater_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return _standing(spark, sf).rollup("assessor").agg(F.count("*").alias("n"), F.count_if(_RIGHT).alias("correct")).select(F.coalesce("assessor", F.lit("all")).alias("assessor"), "n", "correct")
+    return _standing(spark, sf).rollup("assessor").agg(F.count("*").alias("n"), F.count_if(_right()).alias("correct")).select(F.coalesce("assessor", F.lit("all")).alias("assessor"), "n", "correct")
 
 
 @register(f"WITH {_STANDING}, i AS (SELECT id, count(DISTINCT code IN (1, 2)) AS d, bool_and(code IN (1, 2)) AS allright FROM s GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS items, count(*) FILTER (d = 1) AS unanimous, count(*) FILTER (d > 1) AS disputed, count(*) FILTER (allright) AS unanimous_right, count(*) FILTER (d = 1 AND NOT allright) AS unanimous_wrong FROM i")
 def agreement(spark: SparkSession, sf: str) -> DataFrame:
-    i = _standing(spark, sf).withColumn("right", _RIGHT).groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("right").alias("d"), F.every("right").alias("good")).where("n > 1")
+    i = _standing(spark, sf).withColumn("right", _right()).groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("right").alias("d"), F.every("right").alias("good")).where("n > 1")
     return i.agg(F.count("*").alias("items"), F.count_if(F.col("d") == 1).alias("unanimous"), F.count_if(F.col("d") > 1).alias("disputed"), F.count_if("good").alias("unanimous_right"), F.count_if((F.col("d") == 1) & ~F.col("good")).alias("unanimous_wrong"))
 
 
 @register(f"WITH {_STANDING}, r AS (SELECT assessor, count(*) FILTER (code IN (1, 2)) / count(*) AS acc FROM s GROUP BY 1) SELECT bool_and(acc >= 0.8) AS passed, count(*) FILTER (acc < 0.8) AS below FROM r")
 def all_raters_pass(spark: SparkSession, sf: str) -> DataFrame:
-    r = _standing(spark, sf).groupBy("assessor").agg((F.count_if(_RIGHT) / F.count("*")).alias("acc"))
+    r = _standing(spark, sf).groupBy("assessor").agg((F.count_if(_right()) / F.count("*")).alias("acc"))
     return r.agg(F.every(F.col("acc") >= 0.8).alias("passed"), F.count_if(F.col("acc") < 0.8).alias("below"))
 
 
 @register(f"WITH {_STANDING} SELECT id, count(*) FILTER (code IN (0, 3)) AS wrong, string_agg(assessor || ': ' || note, '; ' ORDER BY assessor) FILTER (code IN (0, 3)) AS notes FROM s GROUP BY 1 HAVING count(*) FILTER (code IN (0, 3)) > 0")
 def failed_items(spark: SparkSession, sf: str) -> DataFrame:
-    wrong = _standing(spark, sf).where(~_RIGHT)
+    wrong = _standing(spark, sf).where(~_right())
     lines = F.array_sort(F.collect_list(F.struct("assessor", "note")))
     return wrong.groupBy("id").agg(F.count("*").alias("wrong"), F.array_join(F.transform(lines, lambda s: F.concat(s["assessor"], F.lit(": "), s["note"])), "; ").alias("notes"))
 

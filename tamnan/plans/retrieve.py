@@ -70,13 +70,14 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"WITH {_INDEX} SELECT term, df FROM df")
 def doc_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return R.postings(_docs(spark, sf)).groupBy("term").agg(F.count("*").alias("df"))
+    return R.document_frequency(_docs(spark, sf))
 
 
 @register(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf, round(greatest(idf, 0), 6) AS rarity FROM idf")
 def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
-    t = R.terms(R.postings(docs), R.corpus_size(docs)[0])
+    df, n = R.document_frequency(docs), R.corpus_size(docs)[0]
+    t = R.terms(df, n, R.mean_idf(df, n))
     return t.select("term", "df", F.round("idf", 6).alias("idf"), F.round(F.greatest("idf", F.lit(0.0)), 6).alias("rarity"))
 
 
@@ -171,8 +172,8 @@ def reserved_seats(spark: SparkSession, sf: str) -> DataFrame:
     dense_rank::INTEGER AS dense_rank, lexical_rank::INTEGER AS lexical_rank, max_dense >= 0.46 AS in_scope FROM fin JOIN g USING (qid)"""
 )
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    x = _penalised(spark, sf)
-    top = R.seated(x, score="score").join(broadcast_if_small(R.gate(x).select("qid", "in_scope")), "qid")
+    x = _penalised(spark, sf).withColumn("max_dense", F.coalesce(F.max("dense_score").over(Window.partitionBy("qid")), F.lit(0.0)))
+    top = R.seated(x, score="score").withColumn("in_scope", F.col("max_dense") >= R.P.gate)
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
     return top.select("qid", "pos", "doc_id", F.round("score", 6).alias("score"), zero("dense_score"), zero("lexical_score"), "dense_rank", "lexical_rank", "in_scope")
 
@@ -268,7 +269,7 @@ def leak_counts(spark: SparkSession, sf: str) -> DataFrame:
 def distinctive_words(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf)
     n = R.corpus_size(docs)[0]
-    return R.postings(docs).groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") <= max(2, n // 6)) & (F.length("term") >= 3))
+    return R.document_frequency(docs).where((F.col("df") <= max(2, n // 6)) & (F.length("term") >= 3))
 
 
 @register(f"WITH {_INDEX} SELECT doc_id, list_transform(list_sort(list((df, term)))[1:3], lambda x: x[2]) AS rarest FROM (SELECT doc_id, term, df, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS r FROM tf JOIN df USING (term)) WHERE r <= 3 GROUP BY 1")

@@ -178,21 +178,21 @@ def flag_after_marker(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CHECKS = [
-    ("short", "length(text) < 60", F.length("text") < 60),
-    ("private", "regexp_matches(text, '[\\x{E000}-\\x{F8FF}]')", F.col("text").rlike(r"[\x{E000}-\x{F8FF}]")),
-    ("control", "regexp_matches(text, '[\\x{80}-\\x{9F}]')", F.col("text").rlike(r"[\x{80}-\x{9F}]")),
-    ("split_vowel", "contains(text, 'ํา')", F.contains(F.col("text"), F.lit("ํา"))),
-    ("stray_mark", "regexp_matches(text, '(^|[ \n])[\\x{E31}\\x{E34}-\\x{E3A}\\x{E47}-\\x{E4E}]')", F.col("text").rlike(r"(^|[ \n])[\x{E31}\x{E34}-\x{E3A}\x{E47}-\x{E4E}]")),
-    ("count", "n_chars IS NULL OR n_chars <> length(text)", F.col("n_chars").isNull() | (F.col("n_chars") != F.length("text"))),
-    ("no_language", "lang IS NULL", F.col("lang").isNull()),
-    ("late", "loaded_at > extracted_at + INTERVAL 1 DAY", F.col("loaded_at") > F.col("extracted_at") + F.expr("INTERVAL '1' DAY")),
+    ("short", "length(text) < 60", lambda: F.length("text") < 60),
+    ("private", "regexp_matches(text, '[\\x{E000}-\\x{F8FF}]')", lambda: F.col("text").rlike(r"[\x{E000}-\x{F8FF}]")),
+    ("control", "regexp_matches(text, '[\\x{80}-\\x{9F}]')", lambda: F.col("text").rlike(r"[\x{80}-\x{9F}]")),
+    ("split_vowel", "contains(text, 'ํา')", lambda: F.contains(F.col("text"), F.lit("ํา"))),
+    ("stray_mark", "regexp_matches(text, '(^|[ \n])[\\x{E31}\\x{E34}-\\x{E3A}\\x{E47}-\\x{E4E}]')", lambda: F.col("text").rlike(r"(^|[ \n])[\x{E31}\x{E34}-\x{E3A}\x{E47}-\x{E4E}]")),
+    ("count", "n_chars IS NULL OR n_chars <> length(text)", lambda: F.col("n_chars").isNull() | (F.col("n_chars") != F.length("text"))),
+    ("no_language", "lang IS NULL", lambda: F.col("lang").isNull()),
+    ("late", "loaded_at > extracted_at + INTERVAL 1 DAY", lambda: F.col("loaded_at") > F.col("extracted_at") + F.expr("INTERVAL '1' DAY")),
 ]
 
 
 @register("SELECT passage_id, list_filter([" + ", ".join(f"CASE WHEN {sql} THEN '{name}' END" for name, sql, _ in _CHECKS) + "], lambda x: x IS NOT NULL) AS reasons FROM passages")
 def quality_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Eight checks; every reason is reported."""
-    reasons = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, _, c in _CHECKS]))
+    reasons = F.array_compact(F.array(*[F.when(F.coalesce(c(), F.lit(False)), F.lit(name)) for name, _, c in _CHECKS]))
     return read(spark, sf, "passages").select("passage_id", reasons.alias("reasons"))
 
 
