@@ -315,7 +315,7 @@ class Restorer:
         if other > letters:
             return None
         if true == "cp874":
-            if letters < 3 or sum("ก" <= c <= "๛" for c in out) < 0.8 * (letters + other):
+            if letters < 3 or not re.search("[\u0e01-\u0e5b]{3}", "".join(out)) or sum("ก" <= c <= "๛" for c in out) < 0.8 * (letters + other):
                 return None
         elif not letters and not lost or name == "cp437" and lost + other:
             return None

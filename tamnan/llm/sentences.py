@@ -182,7 +182,7 @@ def _ends(text: str, start: int, a: int, mark: str, end: int) -> bool:
         return False
     if re.fullmatch(r"\d{1,2}", last) and _month(text, rest):
         return False
-    if len(last) == 1 and text[a - 1].isupper():
+    if len(last) == 1 and (text[a - 1].isupper() or text[rest + 1 : rest + 2] == "."):
         return False
     if last in MAYBE or word in MAYBE:
         return nxt.isupper() or nxt in "“„«"
