@@ -38,7 +38,7 @@ def standing_codes(codings: DataFrame, codes: list[int]) -> DataFrame:
     return valid.groupBy("item", "annotator").agg(latest.alias("m")).select("item", "annotator", F.col("m.code").alias("code"))
 
 
-def consensus(labels: DataFrame, codes: list[int], groups: DataFrame | None = None, rounds: int = 12, smoothing: float = 1.0, diagonal: float = 2.0) -> tuple[DataFrame, DataFrame]:
+def consensus(labels: DataFrame, codes: list[int], groups: DataFrame | None = None, rounds: int = 12, smoothing: float = 0.3, diagonal: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """EM over ``labels`` (item, annotator, code); ``groups`` (item, grp) gives items their own class prior.
 
     Returns posteriors (item, grp, posterior array in the order of ``codes``, n_labels, n_codes) and

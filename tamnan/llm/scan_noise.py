@@ -93,34 +93,41 @@ def gram_tables(texts: DataFrame) -> np.ndarray:
     return flat.reshape(2, 1 << BITS)
 
 
-def line_frames(text: str) -> list[str]:
-    """Short lines of a text of several lines with their digits masked: what may be a running head."""
+def line_frames(text: str) -> dict[str, bool]:
+    """Short lines of a text of several lines with their digits masked (what may be a running head), and whether one is its first line."""
     lines = text.split("\n")
     if len(lines) < 2:
-        return []
-    out = set()
+        return {}
+    out: dict[str, bool] = {}
     for i, line in enumerate(lines):
         s = line.strip()
         if 4 <= len(s) <= 70 and not _LIST.match(s) and not _SECTION.match(s) and not _PAGE.match(s):
             near = [x.strip() for x in (*lines[max(0, i - 1) : i], *lines[i + 1 : i + 2]) if x.strip()]
             if any(len(x) >= 30 and not _LIST.match(x) or _PAGE.match(x) for x in near):
-                out.add(_DIGITS.sub("0", s))
-    return sorted(out)
+                frame = _DIGITS.sub("0", s)
+                out[frame] = out.get(frame, False) or i == 0
+    return out
 
 
 def running_heads(texts: DataFrame) -> DataFrame:
-    """(frame, passages) of lines that at least ``HEAD_PASSAGES`` different passages repeat beside prose."""
+    """(frame, passages) of lines that at least ``HEAD_PASSAGES`` passages repeat beside prose, and a tenth of them begin with.
+
+    The end of a broken sentence may be repeated as often, but no passage begins with it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, hash(t) & 0xFFFFFFFF) for t in b["text"].tolist() if t and "\n" in t for f in line_frames(t)]
-            counts: dict[str, int] = {}
-            for f, _ in rows:
-                counts[f] = counts.get(f, 0) + 1
-            yield pd.DataFrame({"frame": list(counts), "n": list(counts.values())}).astype({"frame": "object", "n": "int64"})
-
-    seen = texts.select("text").where(F.col("text").contains("\n")).mapInPandas(run, "frame string, n bigint")
-    return seen.groupBy("frame").agg(F.sum("n").alias("passages")).where(F.col("passages") >= HEAD_PASSAGES)
+            counts: dict[str, list[int]] = {}
+            for t in b["text"].tolist():
+                if t and "\n" in t:
+                    for frame, first in line_frames(t).items():
+                        c = counts.setdefault(frame, [0, 0])
+                        c[0] += 1
+                        c[1] += first
+            yield pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["frame", "n", "first"]).astype({"n": "int64", "first": "int64"})
+
+    seen = texts.select("text").where(F.col("text").contains("\n")).mapInPandas(run, "frame string, n bigint, first bigint")
+    return seen.groupBy("frame").agg(F.sum("n").alias("passages"), F.sum("first").alias("first")).where((F.col("passages") >= HEAD_PASSAGES) & (F.col("first") * 10 >= F.col("passages"))).select("frame", "passages")
 
 
 def line_kinds(text: str, heads: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
