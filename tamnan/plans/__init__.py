@@ -1,3 +1,3 @@
 """The queries, registered by importing their modules."""
 
-from tamnan.plans import checks, events, joins, retrieve, stats, texts  # noqa: F401
+from tamnan.plans import checks, events, handles, joins, retrieve, stats, texts  # noqa: F401
