@@ -32,6 +32,8 @@ K = 704
 BIAS = 0.5
 MIN_SEGMENT = 4.0
 UNSEEN = -6.0
+#: Lengths of the windows that stand for segments when texts are picked.
+WINDOWS = (1, 2, 3, 4, 6, 9, 14, 24, 48)
 #: Most that a pair that never occurs can be worth.
 NEVER = -2.5
 
@@ -96,6 +98,8 @@ def _image_regex(name: str) -> re.Pattern:
 
 #: (read as, true encoding) of one byte a character.
 SINGLE = (("latin-1", "cp874"), ("cp1252", "cp874"), ("mac_roman", "cp874"), ("mac_roman", "cp1252"), ("cp874", "cp1252"), ("cp437", "cp1252"))
+#: True encodings of two bytes a character; all are tried, as each makes characters of the others' bytes.
+WIDE = ("gbk", "shift_jis", "euc_jp")
 IMAGES = {name: _image_regex(name) for name in BYTES}
 _SEED = re.compile("[ÂÃâà-ïÐÑ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,2}[ÂÃâà-ïÐÑ]?|[¡-ÿ]{4}|(?:เ[ธน][\u0080-\u00a0€…‘’“”•–—ก-ฟ?�]){3}|[αΓ][╕╣Ç]|[∞‡·≈∂√ƒ]{2}|[a-zß-ÿ][ก-ฺเ-๛][a-zß-ÿ]|[a-zß-ÿ][À-ÖØ-Þ‰‚¸][a-zß-ÿ]|∞|�")
 
@@ -195,6 +199,27 @@ class Restorer:
                 merged.append([a, b])
         return [(a, b) for a, b in merged]
 
+    def promising(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts of a block hold a stretch of pairs that scores as much as a segment must.
+
+        Sums over windows of growing length stand for the segments; a pair of ASCII characters opens none.
+        """
+        n = len(offsets) - 1
+        if len(codes) < 2:
+            return np.zeros(n, dtype=bool)
+        c = classes(codes)
+        score = -self.pmi[c[:-1], c[1:]] - BIAS
+        score[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(codes))] - 1] = -1e3
+        total = np.concatenate(([0.0], np.cumsum(score, dtype=np.float64)))
+        strange = np.concatenate(([0], np.cumsum(codes > 0x7F)))
+        found = np.zeros(n, dtype=bool)
+        for length in WINDOWS:
+            if length < len(total):
+                at = np.flatnonzero(total[length:] - total[:-length] >= MIN_SEGMENT - 1e-3)
+                at = at[strange[np.minimum(at + length + 1, len(codes))] > strange[at]]
+                found[np.unique(np.searchsorted(offsets, at, side="right") - 1)] = True
+        return found
+
     def restore(self, text: str) -> tuple[str, str, bool]:
         """(restored text, encodings as ``read>true`` joined by +, lossy)."""
         how: list[str] = []
@@ -221,25 +246,34 @@ class Restorer:
         if not high:
             return None
         around = lambda s: text[max(0, a - 1) : a] + s + text[b : b + 1]
-        found = []
+        before = self.badness(around(run))
+        best = None
+        for new, name, lost in self._candidates(text, a, b):
+            worth = self.badness(around(new.replace("�", "")))
+            if best is None or worth < best[0]:
+                best = (worth, (new, name, lost))
+                if worth[0] <= 0.05 * before[0] and not name.endswith(WIDE):
+                    break  # nothing improbable is left
+        if best is None:
+            return None
+        return best[1] if best[0][0] < before[0] - 1.0 or (best[0][0] <= before[0] and best[0][1] < before[1] - 0.3) else None
+
+    def _candidates(self, text: str, a: int, b: int) -> Iterator[tuple[str, str, bool]]:
+        """(decoded run, encodings, lossy) of the inverse mappings that fit the run at all."""
+        run = text[a:b]
         for name in BYTES:
             current, lost, depth = run, False, 0
-            while depth < 3 and (got := self._utf8(current, name, sum(c in BYTES[name] for c in current))):
+            while depth < 3 and IMAGES[name].search(current) and (got := self._utf8(current, name, sum(c in BYTES[name] for c in current))):
                 current, lost, depth = got[0], lost or got[1], depth + 1
-                found.append((*self.badness(around(current.replace("�", ""))), current, f"{name}>utf-8", lost))
+                yield current, f"{name}>utf-8", lost
         for name, true in SINGLE:
             if true == "cp1252" and not self._latin(text, a, b):
                 continue
             if got := self._single(run, name, true):
-                found.append((*self.badness(around(got[0].replace("�", ""))), got[0], f"{name}>{true}", got[1]))
-        for true in ("gbk", "shift_jis", "euc_jp"):
+                yield got[0], f"{name}>{true}", got[1]
+        for true in WIDE:
             if got := self._wide(run, true):
-                found.append((*self.badness(around(got)), got, f"latin-1>{true}", False))
-        if not found:
-            return None
-        best = min(found, key=lambda x: x[:2])
-        before = self.badness(around(run))
-        return best[2:] if best[0] < before[0] - 1.0 or (best[0] <= before[0] and best[1] < before[1] - 0.3) else None
+                yield got, f"latin-1>{true}", False
 
     @staticmethod
     def _latin(text: str, a: int, b: int) -> bool:
@@ -328,19 +362,15 @@ def repair_garbled(texts: DataFrame, key: str, text: str = "text", pmi: np.ndarr
     table = pair_information(source) if pmi is None else pmi
     kind = source.schema["key"].dataType.simpleString()
 
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        worker = Restorer(table)
-        loss = np.maximum(-table - BIAS, 0)
+        worker = Restorer(shared.value)
         for batch in batches:
             rows = batch["text"].tolist()
             hot = np.zeros(len(rows), dtype=bool)
             for a, b, codes, offsets in blocks(rows):
-                c = classes(codes)
-                if len(c) < 2:
-                    continue
-                s = np.append(loss[c[:-1], c[1:]], 0.0) * (np.maximum(codes, np.append(codes[1:], 0)) > 0x7F)
-                total = np.add.reduceat(np.append(s, 0.0), offsets[:-1])
-                hot[a:b] = (total >= MIN_SEGMENT) & (offsets[1:] > offsets[:-1])
+                hot[a:b] = worker.promising(codes, offsets)
             out = {"key": batch["key"], "garbled": hot.copy(), "restored": [None] * len(rows), "encodings": [None] * len(rows), "lossy": np.zeros(len(rows), dtype=bool)}
             for i in np.flatnonzero(hot):
                 new, how, lossy = worker.restore(rows[i])
