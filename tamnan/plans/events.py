@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamnan.catalog import register
 from tamnan.functions.cluster import read
 from tamnan.operators import chunks as C
+from tamnan.operators.ranking import carried_within, ordinal_within
 from tamnan.streaming import state as S
 
 
@@ -39,15 +40,16 @@ def response_latency(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT user_id, row_number() OVER (ORDER BY min(ts), user_id)::INTEGER AS label FROM events GROUP BY 1")
 def first_seen_label(spark: SparkSession, sf: str) -> DataFrame:
-    """People are numbered by first appearance: one row a user reaches the global order."""
+    """People are numbered by first appearance, in sorted ranges instead of one global sort."""
     per = read(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("first"))
-    return per.select("user_id", F.row_number().over(Window.orderBy("first", "user_id")).alias("label"))
+    return ordinal_within(per, [], ["first", "user_id"], "label").select("user_id", F.col("label").cast("int").alias("label"))
 
 
 @register("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS topic FROM events")
 def topic_carry(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, sf, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("topic"))
+    e = read(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return carried_within(e, ["user_id"], ["ts", "event_id"], bought, "topic").select("event_id", "topic")
 
 
 @register("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")

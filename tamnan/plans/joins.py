@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamnan.catalog import register
-from tamnan.functions.cluster import read
+from tamnan.functions.cluster import cut_lineage, read
 from tamnan.operators import text as T
+from tamnan.operators.ranking import carried_within, ordinal_within
 
 _HITS = "hits AS (SELECT passage_id, sysid, chapter, part FROM passages WHERE passage_id % 20 = 0)"
 
@@ -31,8 +32,8 @@ def neighbour_expand(spark: SparkSession, sf: str) -> DataFrame:
     a large part of the rows is joined by narrow keys instead of all against all.
     """
     p = read(spark, sf, "passages").select("passage_id", "sysid", F.coalesce("heading", F.lit("")).alias("h"))
-    o = p.withColumn("ord", F.row_number().over(Window.partitionBy("sysid").orderBy("passage_id"))).withColumn("n", F.count("*").over(Window.partitionBy("sysid", "h")))
-    x = o.where("passage_id % 20 = 0").withColumnRenamed("passage_id", "hit")
+    o = cut_lineage(ordinal_within(p, ["sysid"], ["passage_id"], "ord"))
+    x = o.where("passage_id % 20 = 0").withColumnRenamed("passage_id", "hit").join(p.groupBy("sysid", "h").agg(F.count("*").alias("n")), ["sysid", "h"])
     section = x.where("n <= 4").select("hit", "sysid", "h").join(p, ["sysid", "h"]).select("hit", "passage_id")
     near = x.select("hit", "sysid", F.explode(F.array(F.col("ord") - 1, F.col("ord"), F.col("ord") + 1)).alias("ord")).join(o.select("sysid", "ord", "passage_id"), ["sysid", "ord"]).select("hit", "passage_id")
     return section.unionByName(near).distinct()
@@ -40,8 +41,9 @@ def neighbour_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT passage_id, list(passage_id) OVER (PARTITION BY sysid ORDER BY passage_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around FROM passages")
 def sliding_frame(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("sysid").orderBy("passage_id").rowsBetween(-1, 1)
-    return read(spark, sf, "passages").select("passage_id", F.collect_list("passage_id").over(w).alias("around"))
+    o = cut_lineage(ordinal_within(read(spark, sf, "passages").select("passage_id", "sysid"), ["sysid"], ["passage_id"], "ord"))
+    near = o.select("sysid", F.col("passage_id").alias("other"), F.explode(F.array(F.col("ord") - 1, F.col("ord"), F.col("ord") + 1)).alias("ord"))
+    return o.join(near, ["sysid", "ord"]).groupBy("passage_id").agg(F.sort_array(F.collect_list("other")).alias("around"))  # three rows at most
 
 
 @register(
@@ -69,11 +71,10 @@ def parent_fetch(spark: SparkSession, sf: str) -> DataFrame:
     SELECT p.event_id, v.event_id AS before FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM v GROUP BY 1, 2) v ON p.user_id = v.user_id AND p.ts >= v.ts"""
 )
 def asof_event(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest view of the same user at or before each purchase: one sort, no range join."""
-    e = read(spark, sf, "events").where("event_type IN ('view', 'purchase')")
-    w = Window.partitionBy("user_id").orderBy("ts", (F.col("event_type") == "purchase").cast("int"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    same = e.select("event_id", "event_type", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w).alias("before"))
-    return same.where("event_type = 'purchase'").select("event_id", "before")
+    """The latest view of the same user at or before each purchase: carried along one sort, no range join."""
+    e = read(spark, sf, "events").where("event_type IN ('view', 'purchase')").select("event_id", "user_id", "ts", "event_type", (F.col("event_type") == "purchase").cast("int").alias("last"))
+    view = F.when(F.col("event_type") == "view", F.col("event_id"))
+    return carried_within(e, ["user_id"], ["ts", "last", "event_id"], view, "before").where("event_type = 'purchase'").select("event_id", "before")
 
 
 _NAMES = "(มาตรฐาน|โพรโทคอล|ระเบียบ|ตาราง)"

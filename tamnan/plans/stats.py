@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamnan.catalog import register
-from tamnan.functions.cluster import read
+from tamnan.functions.cluster import broadcast_if_small, read
 from tamnan.operators import text as T
+from tamnan.operators.ranking import ordinal_within
 
 
 @register("SELECT doc_id, title, length(text)::INTEGER AS n FROM documents")
@@ -71,10 +72,10 @@ def length_stats_median(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT category, list_sort(list(seconds))[(count(*) // 2)::INTEGER + 1] AS upper_median FROM answers WHERE seconds IS NOT NULL GROUP BY 1")
 def upper_median(spark: SparkSession, sf: str) -> DataFrame:
-    """The element at n div 2 of the sorted values, found by rank: no group is gathered in one row."""
-    w = Window.partitionBy("category")
-    x = read(spark, sf, "answers").where("seconds IS NOT NULL").select("category", "seconds", F.row_number().over(w.orderBy("seconds")).alias("r"), F.count("*").over(w).alias("n"))
-    return x.where("r = n div 2 + 1").select("category", F.col("seconds").alias("upper_median"))
+    """The element at n div 2 of the sorted values, found by ordinal: no group is sorted in one task."""
+    x = read(spark, sf, "answers").where("seconds IS NOT NULL").select("category", "seconds", "answer_id")
+    n = x.groupBy("category").agg(F.count("*").alias("n")).withColumnRenamed("category", "c")
+    return ordinal_within(x, ["category"], ["seconds", "answer_id"], "r").join(broadcast_if_small(n), F.col("category").eqNullSafe(F.col("c"))).where("r = n div 2 + 1").select("category", F.col("seconds").alias("upper_median"))
 
 
 @register("SELECT kind, count(DISTINCT sysid) AS documents, count(*) AS chunks, count(DISTINCT section) AS sections FROM passages GROUP BY 1")
@@ -160,20 +161,21 @@ def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
     coalesce(try_cast(split_part(section, '/', 2) AS INTEGER), 0), passage_id)::INTEGER AS ord FROM passages WHERE section IS NOT NULL"""
 )
 def natural_sort(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("sysid").orderBy(T.major(F.col("section")).asc_nulls_last(), T.minor(F.col("section")), "passage_id")
-    return read(spark, sf, "passages").where("section IS NOT NULL").select("passage_id", "sysid", "section", F.row_number().over(w).alias("ord"))
+    p = read(spark, sf, "passages").where("section IS NOT NULL").select("passage_id", "sysid", "section")
+    by = [F.coalesce(T.major(F.col("section")), F.lit(2**31 - 1)), T.minor(F.col("section")), "passage_id"]
+    return ordinal_within(p, ["sysid"], by, "ord").select("passage_id", "sysid", "section", F.col("ord").cast("int").alias("ord"))
 
 
 @register("SELECT passage_id, row_number() OVER (PARTITION BY sysid ORDER BY (kind <> 'regulation')::INTEGER, part NULLS LAST, passage_id)::INTEGER AS ord FROM passages")
 def preferred_first(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("sysid").orderBy((F.col("kind") != "regulation").cast("int"), F.col("part").asc_nulls_last(), "passage_id")
-    return read(spark, sf, "passages").select("passage_id", F.row_number().over(w).alias("ord"))
+    p = read(spark, sf, "passages").select("passage_id", "sysid", (F.col("kind") != "regulation").cast("int").alias("other"), F.coalesce("part", F.lit(2**31 - 1)).alias("part"))
+    return ordinal_within(p, ["sysid"], ["other", "part", "passage_id"], "ord").select("passage_id", F.col("ord").cast("int").alias("ord"))
 
 
 @register("SELECT id, category, (floor((row_number() OVER (PARTITION BY category ORDER BY id) - 1) / 15) + 1)::INTEGER AS page FROM questions")
 def paging(spark: SparkSession, sf: str) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("category").orderBy("id"))
-    return read(spark, sf, "questions").select("id", "category", (F.floor((rn - 1) / 15) + 1).cast("int").alias("page"))
+    q = ordinal_within(read(spark, sf, "questions").select("id", "category"), ["category"], ["id"], "rn")
+    return q.select("id", "category", (F.floor((F.col("rn") - 1) / 15) + 1).cast("int").alias("page"))
 
 
 @register("SELECT sysid, chapter, arg_min(page_from, passage_id) AS first_page, max(page_to) AS last_page, count(*) AS chunks FROM passages WHERE kind = 'book' AND chapter IS NOT NULL GROUP BY 1, 2")
@@ -198,13 +200,12 @@ def kind_language_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return p.rollup("kind", "lang").agg(F.count("*").alias("c"), F.sum("n").alias("chars")).select(F.coalesce("kind", F.lit("total")).alias("kind"), F.coalesce("lang", F.lit("all")).alias("lang"), F.col("c").alias("n"), "chars")
 
 
-@register(
-    "SELECT category, list_sort(list(DISTINCT id) FILTER (phrasing = 'ตรง')) AS literal, list_sort(list(DISTINCT id) FILTER (phrasing = 'คลุมเครือ')) AS colloquial FROM questions GROUP BY 1"
-)
+@register("SELECT kind, list_sort(list(DISTINCT chapter) FILTER (lang = 'th' AND chapter IS NOT NULL)) AS th, list_sort(list(DISTINCT chapter) FILTER (lang = 'en' AND chapter IS NOT NULL)) AS en FROM passages GROUP BY 1")
 def pivot_crosstab(spark: SparkSession, sf: str) -> DataFrame:
-    p = read(spark, sf, "questions").groupBy("category").pivot("phrasing", ["ตรง", "คลุมเครือ"]).agg(F.array_sort(F.collect_set("id")))
-    empty = lambda c: F.when(F.size(c) > 0, F.col(c))
-    return p.select("category", empty("ตรง").alias("literal"), empty("คลุมเครือ").alias("colloquial"))
+    """Chapter numbers (a few) of each kind by language."""
+    p = read(spark, sf, "passages").select("kind", "lang", "chapter").distinct().groupBy("kind").pivot("lang", ["th", "en"]).agg(F.array_sort(F.collect_set("chapter")))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    return p.select("kind", some("th"), some("en"))
 
 
 @register("SELECT p.sysid, bool_and(d.superseded_by IS NOT NULL) AS repealed, count(*) AS chunks FROM passages p JOIN docs d ON d.doc_key = p.sysid GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tamnan.catalog import register
 from tamnan.functions.cluster import read
 from tamnan.operators import text as T
+from tamnan.operators.ranking import carried_within, lagged_within, ordinal_within
 
 _TIDY = "trim(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(160) || chr(9), '  '), ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')"
 
@@ -155,8 +156,8 @@ def next_nonblank(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT passage_id, row_number() OVER (PARTITION BY sysid, coalesce(heading, '') ORDER BY passage_id)::INTEGER AS ordinal FROM passages")
 def chunk_ordinal(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("sysid", F.coalesce("heading", F.lit(""))).orderBy("passage_id")
-    return read(spark, sf, "passages").select("passage_id", F.row_number().over(w).alias("ordinal"))
+    p = read(spark, sf, "passages").select("passage_id", "sysid", F.coalesce("heading", F.lit("")).alias("h"))
+    return ordinal_within(p, ["sysid", "h"], ["passage_id"]).select("passage_id", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 @register(
@@ -165,9 +166,12 @@ def chunk_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     SELECT user_id, island::BIGINT AS island, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM i GROUP BY 1, 2"""
 )
 def islands(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    g = read(spark, sf, "events").select("user_id", "ts", "event_id", F.coalesce((F.col("ts") - F.lag("ts").over(w)) > F.expr("INTERVAL '6' HOUR"), F.lit(True)).alias("starts"))
-    return g.withColumn("island", F.sum(F.col("starts").cast("int")).over(w)).groupBy("user_id", "island").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """Islands are numbered by their first events; the number is carried to the others."""
+    g = lagged_within(read(spark, sf, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], {"ts": "bt"})
+    g = g.select("user_id", "ts", "event_id", F.coalesce((F.col("ts") - F.col("bt")) > F.expr("INTERVAL '6' HOUR"), F.lit(True)).alias("starts"))
+    first = ordinal_within(g.where("starts"), ["user_id"], ["ts", "event_id"], "no").select("event_id", "no")
+    all_ = carried_within(g.join(first, "event_id", "left"), ["user_id"], ["ts", "event_id"], F.col("no"), "island")
+    return all_.groupBy("user_id", "island").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 @register(f"WITH {_LINES}, f AS (SELECT *, max(regexp_matches(line, '^(หมวด 2|2\\. )')::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM l) SELECT doc_id, pos::INTEGER AS pos FROM f WHERE after = 1")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tamnan.operators.ranking import ordinal_within
+
 
 def parquet(spark: SparkSession, *paths: str, fill: dict | None = None) -> DataFrame:
     """Several files as one table; columns missing from one of them are null, then filled."""
@@ -99,11 +101,5 @@ def extracted(spark: SparkSession, path: str, ladder: list[tuple[str, Callable[[
 
 
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
-    """A row number from 0 over a total order, for access by position: sorted ranges are counted, then numbered apart."""
-    from pyspark.sql.functions import spark_partition_id
-
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))  # one row a partition
-    inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn("_i", inner).join(F.broadcast(offsets), "_p").withColumn("ordinal", F.col("_i") + F.col("_o")).drop("_p", "_i", "_o")
+    """``ordinal``, a row number from 0 over a total order, for access by position."""
+    return ordinal_within(df, [], list(order)).withColumn("ordinal", F.col("ordinal") - 1)

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tamnan.operators.ranking import lagged_within
+
 #: Seconds a chat is remembered, chats remembered, rows of the monitor.
 TTL_S, CAPACITY, RING = 900, 500, 100
 
@@ -22,9 +24,8 @@ def read_events(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFra
 
 def remembered(events: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
     """Batch twin of :func:`remember`: each event with what its user did last, if within ``ttl_s``."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    before = events.select("*", F.lag("event_type").over(w).alias("b"), F.lag("ts").over(w).alias("bt"))
-    fresh = F.timestamp_diff("SECOND", F.col("bt"), F.col("ts")) <= ttl_s if hasattr(F, "timestamp_diff") else (F.col("ts").cast("timestamp").cast("double") - F.col("bt").cast("timestamp").cast("double")) <= ttl_s
+    before = lagged_within(events.select("event_id", "user_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"], {"event_type": "b", "ts": "bt"})
+    fresh = F.expr(f"timestampdiff(MICROSECOND, bt, ts) <= {ttl_s}000000")
     return before.select("event_id", "user_id", F.when(fresh, F.col("b")).alias("previous"))
 
 

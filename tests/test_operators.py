@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tamnan.operators import chunks, retrieval, text, verify
+from tamnan.operators import chunks, ranking, retrieval, text, verify
 
 
 def test_seat_displaces_a_higher_fused_score(spark):
@@ -95,3 +95,22 @@ def test_dense_block(spark):
     assert {r.doc_id: round(r.score, 6) for r in retrieval.dense(q, v).collect()} == {1: 0.0, 2: 0.8}
 
 
+
+
+def test_ordinals_and_carried_values_in_a_hot_group(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randint(0, 50), i, rng.choice([None, None, i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, k int, i int, v int").repartition(7)
+    order = sorted(rows, key=lambda r: (r[0] or "", r[1], r[2]))
+    want, seen, last, prev = {}, {}, {}, {}
+    for g, _, i, v in order:
+        seen[g] = seen.get(g, 0) + 1
+        before = prev.get(g)
+        last[g] = v if v is not None else last.get(g)
+        want[i] = (seen[g], last[g], before)
+        prev[g] = i
+    a = {r.i: r.ordinal for r in ranking.ordinal_within(df, ["g"], ["k", "i"]).collect()}
+    b = {r.i: r.c for r in ranking.carried_within(df, ["g"], ["k", "i"], F.col("v"), "c").collect()}
+    c = {r.i: r.p for r in ranking.lagged_within(df, ["g"], ["k", "i"], {"i": "p"}).collect()}
+    assert {i: (a[i], b[i], c[i]) for i in a} == want
+    assert ranking.ordinal_within(df.where("false"), ["g"], ["i"]).count() == 0
