@@ -38,6 +38,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make less than half as many tasks (one small file); larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def columns(df: DataFrame) -> dict:
     """The columns of a result of proven size as numpy arrays, carried by Arrow."""
     table = df.toArrow()

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamnan.catalog import register
-from tamnan.functions.cluster import broadcast_if_small, read
+from tamnan.functions.cluster import broadcast_if_small, read, spread
 from tamnan.operators import retrieval as R
 from tamnan.operators import text as T
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", "text")
+    return spread(read(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
