@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamnan.functions.cluster import broadcast_if_small, read
+from tamnan.functions.cluster import broadcast_if_small, read, spread
 from tamnan.llm import chunking, confusables, consensus, leakage, mojibake, packing, qa_defects, residue, scan_noise, sentences
 
 CODES = [0, 1, 2, 3]
@@ -15,6 +15,10 @@ CODES = [0, 1, 2, 3]
 TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 
+def _texts(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
+    return spread(read(spark, sf, table).select(*columns))
+
+
 def _labels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(standing codes of known questions, questions as (item, grp))."""
     questions = read(spark, sf, "questions").select(F.col("id").alias("item"), F.coalesce("phrasing", F.lit("")).alias("grp"), consensus.id_key(F.col("id")).alias("k"))
@@ -47,11 +51,11 @@ def p1_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return mojibake.repair_garbled(read(spark, sf, "passages"), "passage_id").where("garbled").select("passage_id")
+    return mojibake.repair_garbled(_texts(spark, sf, "passages", "passage_id", "text"), "passage_id").where("garbled").select("passage_id")
 
 
 def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
-    return mojibake.repair_garbled(read(spark, sf, "passages"), "passage_id").where("garbled").select("passage_id", "encodings", "lossy", "restored")
+    return mojibake.repair_garbled(_texts(spark, sf, "passages", "passage_id", "text"), "passage_id").where("garbled").select("passage_id", "encodings", "lossy", "restored")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +65,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_units(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.sentence_units(read(spark, sf, "passages"))
+    return sentences.sentence_units(_texts(spark, sf, "passages", "passage_id", "text"))
 
 
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,19 +77,19 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_noise.repair_scans(read(spark, sf, "passages"), with_text=False).select("passage_id")
+    return scan_noise.repair_scans(_texts(spark, sf, "passages", "passage_id", "text"), with_text=False).select("passage_id")
 
 
 def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
-    return scan_noise.repair_scans(read(spark, sf, "passages"))
+    return scan_noise.repair_scans(_texts(spark, sf, "passages", "passage_id", "text"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return qa_defects.pair_defects(read(spark, sf, "answers"))
+    return qa_defects.pair_defects(_texts(spark, sf, "answers", "answer_id", "question", "answer", "in_scope"))
 
 
 def _lookalikes(spark: SparkSession, sf: str) -> DataFrame:
-    return confusables.lookalike_groups([(read(spark, sf, "docs"), "doc_no", "short", "docs.short"), (read(spark, sf, "passages"), "passage_id", "text", "passages.text")])
+    return confusables.lookalike_groups([(read(spark, sf, "docs"), "doc_no", "short", "docs.short"), (_texts(spark, sf, "passages", "passage_id", "text"), "passage_id", "text", "passages.text")])
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +103,7 @@ def p7_normal_docs(spark: SparkSession, sf: str) -> DataFrame:
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     # the table of limits is fixed: one row for documents
     capacity = read(spark, sf, "size_limits").where("scope = 'documents' AND size_unit = 'tokens'").agg(F.min("max_size")).first()[0]
-    return packing.pack_documents(packing.token_counts(read(spark, sf, "documents"), TOKENIZER), int(capacity))
+    return packing.pack_documents(packing.token_counts(_texts(spark, sf, "documents", "doc_id", "text"), TOKENIZER), int(capacity))
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,12 +112,12 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    hits = leakage.leaks(read(spark, sf, "documents"), read(spark, sf, "holdout_questions"))
+    hits = leakage.leaks(_texts(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "holdout_questions"))
     return leakage.leaked_items(hits).select("doc_id", "item_id")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return residue.find_residue(read(spark, sf, "documents")).select("doc_id").distinct()
+    return residue.find_residue(_texts(spark, sf, "documents", "doc_id", "text")).select("doc_id").distinct()
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p1_agreement, p2_found, p2_restored, p3_found, p3_units, p4_found, p4_pieces, p5_found, p5_repaired, p6_found, p7_found, p7_normal_docs, p8_containers, p8_fill, p9_found, p10_found)}
