@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from tamnan.functions.cluster import cut_lineage
 
 SHARD = 8192
-GROUPS = 48
+GROUPS = 400
 #: An item below this part of the capacity is small.
-SMALL = 8
+SMALL = 6
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _ENCODERS: dict[str, object] = {}

@@ -7,7 +7,8 @@
   scripts that have them, and, for Thai, end statistics: over all responses it is counted how often
   the last characters of a response end a sentence and how often they go on; a response whose last
   characters nearly always go on stopped early.  The counts are kept exactly, by 64-bit hash, for the
-  suffixes that responses end in; a bitmap of fixed size keeps other n-grams out of the shuffle.
+  suffixes that responses end in; a bitmap of fixed size keeps other n-grams out of the shuffle.  A tail
+  too rare for counts is held against the prompt: a name that the prompt carries on with was cut.
 * language: script shares and stopword votes of prompt and response.
 
 Defined cases: a null response is empty; a null prompt can be neither copied nor differ in language;
@@ -219,6 +220,19 @@ def tail_hashes(answer: str) -> list[int]:
     return [int(_grams(masked[-k:], k)[0].astype(np.int64)) for k in SUFFIXES if len(masked) >= k + 3]
 
 
+def breaks_off_a_name(question: str | None, answer: str) -> bool:
+    """Whether the answer ends in a part of a Thai word that the question carries on with."""
+    if not question:
+        return False
+    core = _core(answer)
+    for size in range(min(14, len(core)), 2, -1):
+        at = question.find(core[-size:])
+        if at >= 0:
+            after = question[at + size : at + size + 1]
+            return "\u0e01" <= after <= "\u0e4e"
+    return False
+
+
 def end_counts(answer: str) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, whether a sentence ends there) of all n-grams inside one answer but for its very end."""
     masked = _masked(answer.strip())
@@ -318,14 +332,17 @@ def pair_defects(pairs: DataFrame, key: str = "answer_id", question: str = "ques
             for k, q, a, s in zip(b["key"].tolist(), b["q"].tolist(), b["a"].tolist(), b["s"].tolist()):
                 found, open_end = defects(q, a, None if s is None else bool(s))
                 tails = tail_hashes(a) if open_end else []
-                if found or tails:
-                    rows.append((k, found, tails))
-            yield pd.DataFrame(rows, columns=["key", "found", "tails"])
+                name = open_end and breaks_off_a_name(q, a)
+                if found or tails or name:
+                    rows.append((k, found, tails, name))
+            yield pd.DataFrame(rows, columns=["key", "found", "tails", "name"])
 
-    judged = cut_lineage(source.mapInPandas(run, "key bigint, found array<string>, tails array<bigint>"))
+    judged = cut_lineage(source.mapInPandas(run, "key bigint, found array<string>, tails array<bigint>, name boolean"))
     tails = judged.select("key", F.posexplode("tails").alias("rank", "h"))
     evidence = suffix_evidence(source, tails)
     weighed = tails.join(evidence, "h").where(F.col("goes") + F.col("ends") >= EVIDENCE)
     longest = weighed.groupBy("key").agg(F.min_by(F.struct("goes", "ends"), "rank").alias("e"))
-    cut = longest.where(F.col("e.ends") < CUT_SHARE * (F.col("e.goes") + F.col("e.ends"))).select(F.col("key").alias(key), F.lit("truncated").alias("defect"))
-    return judged.select(F.col("key").alias(key), F.explode("found").alias("defect")).unionByName(cut)
+    cut = longest.where(F.col("e.ends") < CUT_SHARE * (F.col("e.goes") + F.col("e.ends"))).select("key")
+    unheard = judged.where("name").select("key").join(longest.select("key"), "key", "left_anti")  # names are too rare for counts
+    truncated = cut.unionByName(unheard).select(F.col("key").alias(key), F.lit("truncated").alias("defect"))
+    return judged.select(F.col("key").alias(key), F.explode("found").alias("defect")).unionByName(truncated)

@@ -31,6 +31,8 @@ from tamnan.functions.cluster import columns
 BITS = 22
 MIN_COUNT, RATIO = 24, 40.0
 HEAD_PASSAGES = 5
+#: Running heads up to which all are broadcast.
+MAX_HEADS = 200_000
 
 # Characters that scanners take for one another.
 _PAIRS = "บข กถ คด ลส มน ทห ตด ชซ ผฝ พฟ คต ฎฏ"
@@ -331,17 +333,27 @@ def text_break(left: str, right: str, channel: Channel | None) -> bool:
     return with_blank > channel._support(left[-3:], "", right[:3]) + 1 if with_blank else False
 
 
-def repair_scans(passages: DataFrame, key: str = "passage_id", text: str = "text", with_text: bool = True) -> DataFrame:
-    """(key, traces, misread[, repaired]) of every passage that bears traces of scanning."""
+def repair_scans(passages: DataFrame, key: str = "passage_id", text: str = "text", with_text: bool = True, max_heads: int = MAX_HEADS) -> DataFrame:
+    """(key, traces, misread[, repaired]) of every passage that bears traces of scanning.
+
+    Up to ``max_heads`` running heads are broadcast; beyond that each passage gets its own by a join.
+    """
     source = passages.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
     spark = passages.sparkSession
-    heads = spark.sparkContext.broadcast(_bounded_heads(running_heads(source)))
+    known = running_heads(source)
+    if known.limit(max_heads + 1).count() <= max_heads:
+        shared = frozenset(r["frame"] for r in known.collect())
+        rows = source.withColumn("heads", F.lit(None).cast("array<string>"))
+    else:
+        shared = frozenset()
+        rows = _with_own_heads(source, known)
+    heads = spark.sparkContext.broadcast(shared)
     tables = spark.sparkContext.broadcast(gram_tables(source))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         channel = Channel(tables.value)
         for b in batches:
-            keys, texts, out = b["key"].tolist(), b["text"].tolist(), []
+            keys, texts, own, out = b["key"].tolist(), b["text"].tolist(), b["heads"].tolist(), []
             for first, last, codes, offsets in blocks(texts, 500_000):
                 by_row: dict[int, dict[int, list[tuple[str, str]]]] = {}
                 for at, read, meant in channel.suspects(codes):
@@ -352,25 +364,29 @@ def repair_scans(passages: DataFrame, key: str = "passage_id", text: str = "text
                     t = texts[first + r]
                     if not t:
                         continue
-                    found = layout_traces(t, heads.value)
+                    mine = heads.value if own[first + r] is None else frozenset(own[first + r])
+                    found = layout_traces(t, mine)
                     options = by_row.get(r, {})
                     if options:
                         found.add("misread")
                     if found:
-                        out.append((keys[first + r], sorted(found), len(options), *((_repair(t, options, heads.value, channel),) if with_text else ())))
+                        out.append((keys[first + r], sorted(found), len(options), *((_repair(t, options, mine, channel),) if with_text else ())))
             yield pd.DataFrame(out, columns=[key, "traces", "misread", *(["repaired"] if with_text else [])]).astype({"misread": "int32"})
 
-    return source.mapInPandas(run, f"{key} bigint, traces array<string>, misread int" + (", repaired string" if with_text else ""))
+    return rows.mapInPandas(run, f"{key} bigint, traces array<string>, misread int" + (", repaired string" if with_text else ""))
 
 
-#: Most running heads that are looked up; a corpus has few, and those with fewer passages go first.
-MAX_HEADS = 1_000_000
+def _with_own_heads(source: DataFrame, known: DataFrame) -> DataFrame:
+    """``source`` with the running heads among each passage's own lines (a few a passage), found by a join on the line."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, f) for k, t in zip(b["key"].tolist(), b["text"].tolist()) if "\n" in t for f in line_frames(t)]
+            yield pd.DataFrame(rows, columns=["key", "frame"])
 
-def _bounded_heads(heads: DataFrame) -> frozenset[str]:
-    if heads.count() > MAX_HEADS:
-        raise ValueError("more running heads than fit a broadcast; raise HEAD_PASSAGES")
-    return frozenset(r["frame"] for r in heads.collect())
+    lines = source.mapInPandas(run, "key bigint, frame string").join(known.select("frame"), "frame", "left_semi")
+    own = lines.groupBy("key").agg(F.collect_set("frame").alias("heads"))
+    return source.join(own, "key", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<string>")))
 
 
 def _repair(text: str, options: dict[int, list[tuple[str, str]]], heads: frozenset[str], channel: Channel) -> str:

@@ -251,6 +251,16 @@ def test_noisy_channel_corrects_a_misread_letter(spark):
     assert set(out) == {500} and "misread" in out[500].traces and out[500].repaired == THAI
 
 
+def test_running_heads_by_join_and_by_broadcast_are_one(spark):
+    rng = random.Random(1)
+    body = lambda: " ".join(rng.choice(["panel", "router", "keeps", "officer", "school", "agreed"]) for _ in range(12)).capitalize()
+    rows = [(i, f"Gazette of Towns {i}\n{body()}\n{body().lower()}.") for i in range(12)] + [(i, f"{body()}.\n\n{body()}.") for i in range(20, 30)]
+    df = passages(spark, rows)
+    one = {(r.passage_id, tuple(r.traces)) for r in scan_noise.repair_scans(df).collect()}
+    two = {(r.passage_id, tuple(r.traces)) for r in scan_noise.repair_scans(df, max_heads=0).collect()}
+    assert one == two and {i for i, t in one if "head" in t} == set(range(12))
+
+
 def test_scan_edges(edges, empty):
     got = {r.passage_id for r in scan_noise.repair_scans(edges).collect()}
     assert got.isdisjoint({1, 2, 3, 4, 6}) and scan_noise.repair_scans(empty).count() == 0
