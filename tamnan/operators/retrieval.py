@@ -154,3 +154,16 @@ def gate(results: DataFrame, p: Params = P) -> DataFrame:
     """(qid, max_dense, in_scope): the dense list alone decides."""
     best = results.groupBy("qid").agg(F.coalesce(F.max("dense_score"), F.lit(0.0)).alias("max_dense"))
     return best.withColumn("in_scope", F.col("max_dense") >= p.gate)
+
+
+def exact_number_boost(candidates: DataFrame, asked: Column, cited: Column, p: Params = P) -> DataFrame:
+    """``boosted``: the score, plus ``boost_first`` (part 0) or ``boost_part`` where the query names the candidate's section."""
+    named = F.array_contains(asked, cited)
+    extra = F.when(F.coalesce(named, F.lit(False)), F.when(F.coalesce("part", F.lit(0)) == 0, p.boost_first).otherwise(p.boost_part)).otherwise(0.0)
+    return candidates.withColumn("boosted", F.col("score") + extra)
+
+
+def off_subject_penalty(candidates: DataFrame, subjects: Column, title: Column, p: Params = P) -> DataFrame:
+    """``penalised``: the score times ``off_subject`` where the query names exactly one subject and the title doesn't hold it."""
+    off = (F.size(subjects) == 1) & ~F.coalesce(F.contains(title, F.try_element_at(subjects, F.lit(1))), F.lit(False))
+    return candidates.withColumn("penalised", F.col("score") * F.when(F.coalesce(off, F.lit(False)), p.off_subject).otherwise(1.0))

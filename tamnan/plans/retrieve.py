@@ -315,3 +315,33 @@ def route_corpus(spark: SparkSession, sf: str) -> DataFrame:
     w = s.groupBy("qid").agg(best(F.col("doc_id.label") < 5).alias("r"), best(F.col("doc_id.label") >= 5).alias("a"))
     route = F.when(F.col("a") < 0.55, "none").when((F.col("r") < 0.46) | (F.col("a") - F.col("r") >= 0.08), "articles").otherwise("rules")
     return w.select("qid", F.round("r", 6).alias("rules"), F.round("a", 6).alias("articles"), route.alias("route"))
+
+
+_CITES = "(?:ข้อ|มาตรา) [0-9]+(?:/[0-9]+)?"
+
+
+@register(
+    f"""WITH a AS (SELECT answer_id AS qid, list_distinct(regexp_extract_all(translate(answer, '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '{_CITES}')) AS asked FROM answers WHERE answer_id % 20 = 0 AND answer IS NOT NULL),
+    c AS (SELECT qid, unnest(list_distinct(list_transform(asked, lambda x: string_split(x, ' ')[2]))) AS section, asked FROM a)
+    SELECT qid, passage_id, round(0.016 + CASE WHEN list_contains(asked, unit || ' ' || p.section) THEN CASE WHEN coalesce(part, 0) = 0 THEN 0.5 ELSE 0.4 END ELSE 0 END, 6)::DOUBLE AS boosted FROM c JOIN passages p ON p.section = c.section"""
+)
+def exact_number_boost(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates share the cited number; those of the same unit (rule or section) are boosted."""
+    asked = F.array_distinct(F.regexp_extract_all(T.arabic_digits(F.col("answer")), F.lit(f"({_CITES})")))
+    a = read(spark, sf, "answers").where("answer_id % 20 = 0 AND answer IS NOT NULL").select(F.col("answer_id").alias("qid"), asked.alias("asked"))
+    keys = a.select("qid", "asked", F.explode(F.array_distinct(F.transform("asked", lambda x: F.split(x, " ")[1]))).alias("section"))
+    p = read(spark, sf, "passages").where("section IS NOT NULL").select("passage_id", "section", "unit", "part")
+    c = p.join(broadcast_if_small(keys), "section").withColumn("score", F.lit(0.016))
+    return R.exact_number_boost(c, F.col("asked"), F.concat_ws(" ", "unit", "section")).select("qid", "passage_id", F.round("boosted", 6).alias("boosted"))
+
+
+@register(
+    f"""WITH {_FUSED}, s AS (SELECT qid, list_distinct(regexp_extract_all(text, '(?:OSPF|DHCP|SNMP|SMTP|VLAN|ICMP|IPv6|Wi-Fi|Ethernet)')) AS subjects FROM q)
+    SELECT qid, doc_id, round(rrf * CASE WHEN len(subjects) = 1 AND NOT coalesce(contains(d.title, subjects[1]), false) THEN 0.5 ELSE 1 END, 6) AS penalised FROM fused JOIN s USING (qid) JOIN documents d USING (doc_id)"""
+)
+def off_subject_penalty(spark: SparkSession, sf: str) -> DataFrame:
+    """A question that names exactly one subject halves the score of documents whose title doesn't hold it."""
+    named = F.array_distinct(F.regexp_extract_all("text", F.lit("(OSPF|DHCP|SNMP|SMTP|VLAN|ICMP|IPv6|Wi-Fi|Ethernet)")))
+    q = broadcast_if_small(_queries(spark, sf).select("qid", named.alias("subjects")))
+    c = _fused(spark, sf).withColumnRenamed("rrf", "score").join(q, "qid").join(read(spark, sf, "documents").select("doc_id", "title"), "doc_id")
+    return R.off_subject_penalty(c, F.col("subjects"), F.col("title")).select("qid", "doc_id", F.round("penalised", 6).alias("penalised"))
