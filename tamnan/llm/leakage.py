@@ -2,10 +2,12 @@
 
 Texts are folded to their letters (case, width, accents, digits, blanks and punctuation don't count).
 The n-grams of all test texts are a broadcast hash set (test sets are taken in blocks of bounded
-size).  One scan counts how often each test n-gram occurs in the corpus; for every stretch of half a
-test text the rarest n-grams, spread over it, become its probes.  A second scan looks the probes up
-in all document windows and verifies each hit by aligning the test text with the document around it:
-the best stretch must cover ``share`` of the text, in order, with few changes.
+size).  One scan looks all of them up in every document; none is left out, so an edit can't hide a
+stretch that has n-grams beside it.  A document and a text go on if enough n-grams of the text occur in
+the document, then if enough of them lie on one band of diagonals; both numbers are bounds from below
+for a stretch of ``share`` of the text with one edit for every ``1 / EDITS`` matching letters.  What is
+left is verified by aligning the test text with the document around it: the best stretch must cover
+``share`` of the text, in order, with few changes.
 
 Defined cases: null and empty texts and texts of fewer than ``N`` letters leak nothing and are leaked
 by nothing; a repeated document is reported under each id; an item is reported once a document.
@@ -23,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamnan.functions.charblocks import blocks, hash_grams
-from tamnan.functions.cluster import columns
 
-#: Letters of an n-gram; probes taken from each half-length stretch; test texts of one broadcast block.
-N = 10
-PROBES = 3
+#: Letters of an n-gram; edits a stretch may have for each matching letter; test texts of one broadcast block.
+N = 6
+EDITS = 0.1
 BLOCK_ITEMS = 20_000
+#: Cells of the table (document, n-gram) that is held at a time.
+CELLS = 4_000_000
 
 _FOLD: np.ndarray | None = None
 
@@ -74,56 +77,131 @@ def _scan(texts: list, grams: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.
         yield a, row[at], at - first[row[at]], i
 
 
-def gram_counts(documents: DataFrame, grams: np.ndarray) -> np.ndarray:
-    """How often each of the sorted ``grams`` occurs in all documents."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(len(grams), dtype=np.int64)
-        for batch in batches:
-            for _, _, _, i in _scan(batch["text"].tolist(), grams):
-                n += np.bincount(i, minlength=len(grams))
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"i": at.astype(np.int32), "n": n[at]})
-
-    rows = columns(documents.select("text").mapInPandas(count, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")))  # at most one row a test n-gram
-    out = np.zeros(len(grams), dtype=np.int64)
-    out[rows["i"].astype(np.int64)] = rows["n"]
+class ItemTexts:
+    """The n-grams of all test texts, where they stand in each, and classes of n-grams that stand in the same texts."""
+
+    def __init__(self, sides: list[np.ndarray], share: float):
+        hashes = [hash_grams(x, N) for x in sides]
+        length = np.array([len(x) for x in sides], dtype=np.int64)
+        self.sides = sides
+        self.n = np.array([len(h) for h in hashes], dtype=np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(self.n)))[:-1]
+        self.grams, at = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *hashes]), return_inverse=True)
+        self.gram_at = at.astype(np.int32)
+        matched = np.ceil(share * length).astype(np.int64)
+        #: N-grams that are left of ``matched`` letters with so many edits, and the width that their diagonals can't exceed.
+        self.need = np.maximum(1, matched - (N - 1) * (1 + (EDITS * matched).astype(np.int64)))
+        self.width = max(40, int(np.ceil(matched.max(initial=0) * (1 / DENSITY - 1))))
+        side = np.repeat(np.arange(len(sides)), self.n)
+        mark = np.random.default_rng(0).integers(1, 1 << 63, len(sides), dtype=np.uint64)
+        sign = np.zeros(len(self.grams), dtype=np.uint64)
+        np.add.at(sign, at, mark[side])
+        _, example, self.kind = np.unique(sign, return_index=True, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(len(self.grams) + 1))
+        self.kind_n = np.diff(first)[example]
+        self.kind_begin = np.concatenate(([0], np.cumsum(self.kind_n)))[:-1]
+        self.kind_side = side[order][_ranges(first[example], self.kind_n)].astype(np.int32)
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin``, ``n`` of them."""
+    out = np.repeat(begin - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
     return out
 
 
-def choose_probes(sides: list[np.ndarray], grams: np.ndarray, counts: np.ndarray, share: float) -> pd.DataFrame:
-    """(gram, side, pos): of every stretch of ``share`` of a text its ``PROBES`` rarest n-grams that don't overlap."""
-    out: list[tuple[int, int, int]] = []
-    for s, letters in enumerate(sides):
-        g = hash_grams(letters, N)
-        if not len(g):
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, place of each one's first, how many) of sorted values."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1])))
+    return values[first], first, np.diff(np.append(first, len(values)))
+
+
+def candidates(own: ItemTexts, row: np.ndarray, pos: np.ndarray, gram: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, sides, least diagonals, largest diagonals) of bands that hold enough n-grams; ``row`` is sorted."""
+    size, n_sides = len(own.grams), len(own.sides)
+    step = max(1, CELLS // (size + n_sides))
+    table = np.zeros(min(step, int(row[-1]) + 1 if len(row) else 0) * size, dtype=np.int32)
+    for low in range(0, int(row[-1]) + 1 if len(row) else 0, step):
+        a, b = np.searchsorted(row, [low, low + step])
+        key = (row[a:b] - low) * size + gram[a:b]
+        order = np.argsort(key)
+        at = pos[a:b][order]
+        key, first, times = _distinct(key[order])
+        kinds, _, count = _distinct(np.sort(key // size * len(own.kind_n) + own.kind[key % size]))
+        r, kind = np.divmod(kinds, len(own.kind_n))
+        n = own.kind_n[kind]
+        cell = np.repeat(r * n_sides, n) + own.kind_side[_ranges(own.kind_begin[kind], n)]
+        score = np.bincount(cell, weights=np.repeat(count, n), minlength=1).reshape(-1)
+        pair = np.flatnonzero(score)
+        pair = pair[score[pair] >= own.need[pair % n_sides]]
+        if not len(pair):
             continue
-        index = np.searchsorted(grams, g)
-        freq = counts[index]
-        window = max(1, int(len(letters) * share) - N + 1)
-        chosen: set[int] = set()
-        for a in range(0, max(1, len(g) - window + 1), max(1, window // 4)):
-            taken: list[int] = []
-            for p in a + np.argsort(freq[a : a + window], kind="stable"):
-                if all(abs(p - q) >= N for q in taken):
-                    taken.append(int(p))
-                    if len(taken) == PROBES:
-                        break
-            chosen.update(taken)
-        out += [(int(index[p]), s, p) for p in sorted(chosen)]
-    return pd.DataFrame(out, columns=["gram", "side", "pos"])
-
-
-def best_stretch(item: np.ndarray, doc: np.ndarray, at: int, short: np.ndarray | None = None, share: float = 0.5) -> float:
-    """Share of ``item`` carried, in order, by one stretch of ``doc`` whose letter at ``at`` faces the item's first letter."""
+        table[key] = np.arange(1, len(key) + 1)
+        r, side = np.divmod(pair, n_sides)
+        n = own.n[side]
+        end = np.cumsum(n)
+        hit = own.gram_at[_ranges(own.begin[side], n)]
+        hit += np.repeat((r * size).astype(np.int32), n)
+        hit = table[hit]
+        table[key] = 0
+        found = np.flatnonzero(hit)
+        which = np.repeat(np.arange(len(pair), dtype=np.int32), n)[found]
+        q, hit = found - (end - n)[which], hit[found] - 1
+        n = times[hit]
+        diagonal = at[_ranges(first[hit], n)] - np.repeat(q, n)
+        shift = -int(diagonal.min(initial=0)) // own.width * own.width + own.width
+        bins = (int(diagonal.max(initial=0)) + shift) // own.width + 2
+        band = np.repeat(which, n).astype(np.int64) * bins + (diagonal + shift) // own.width
+        order = np.argsort(band)
+        band, start, n = _distinct(band[order])
+        least, most = np.minimum.reduceat(diagonal[order], start), np.maximum.reduceat(diagonal[order], start)
+        following = np.concatenate((band[1:] == band[:-1] + 1, [False]))
+        then = np.minimum(np.arange(len(band)) + 1, len(band) - 1)
+        need = own.need[side[band // bins]]
+        both = n + np.where(following, n[then], 0)
+        # a band whose next one suffices by itself is within reach of that one's alignment
+        keep = np.flatnonzero((both >= need) & ~(following & (n[then] >= need) & (n < need)))
+        pick = band[keep] // bins
+        yield r[pick] + low, side[pick], least[keep], np.where(following, most[then], most)[keep]
+
+
+def may_carry(item: np.ndarray, doc: np.ndarray, least: int, most: int, share: float) -> bool:
+    """Whether the item's letters that match on any diagonal in reach, three or more in a row, are many and dense enough: what ``best_stretch`` finds has no others."""
+    slack = max(30, len(item) // 5)
+    reach = most - least + 2 * slack + 1
+    low = least - slack
+    window = np.zeros(len(item) + reach - 1, dtype=doc.dtype)  # no letter is 0
+    part = doc[max(0, low) : max(0, low + len(window))]
+    window[max(0, -low) : max(0, -low) + len(part)] = part
+    same = np.lib.stride_tricks.sliding_window_view(window, reach) == item[:, None]
+    return _dense_enough((same[2:] & same[1:-1] & same[:-2]).any(axis=1), share)
+
+
+def _dense_enough(three: np.ndarray, share: float) -> bool:
+    """Whether some part of an item, given which of its 3-grams match, has ``share`` of its letters and ``DENSITY`` of its own."""
+    covered = np.zeros(len(three) + 2, dtype=bool)
+    for k in range(3):
+        covered[k : k + len(three)] |= three
+    least = share * len(covered)
+    if np.count_nonzero(covered) < least:
+        return False
+    total = np.concatenate(([0], np.cumsum(covered)))
+    # total[y] - total[x] >= DENSITY * (y - x) for the best x that leaves enough
+    lead = total - DENSITY * np.arange(len(total))
+    lowest = np.minimum.accumulate(lead)
+    x = np.searchsorted(total, total - least, side="right") - 1
+    return bool((lead - lowest[np.maximum(x, 0)] >= -1e-9)[x >= 0].any())
+
+
+def best_stretch(item: np.ndarray, doc: np.ndarray, least: int, most: int) -> tuple[float, int]:
+    """(share of ``item`` carried, in order, by one stretch of ``doc``, letter of ``doc`` that faces the item's first); the latter is about ``least`` to ``most``."""
     slack = max(30, len(item) // 5)
-    window = doc[max(0, at - slack) : at + len(item) + slack]
-    if short is not None and np.isin(hash_grams(window, SHORT), short).sum() < FIRST * share * len(item) - SHORT:
-        return 0.0
+    low = max(0, least - slack)
     a = "".join(map(chr, item))
-    b = "".join(map(chr, window))
+    b = "".join(map(chr, doc[low : max(0, most + len(item) + slack)]))
     matched = [(m.a, m.b, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= 3]
-    best = 0.0
+    best, start = 0, 0
     run: list[tuple[int, int, int]] = []
     for m in matched:
         if run:
@@ -132,15 +210,16 @@ def best_stretch(item: np.ndarray, doc: np.ndarray, at: int, short: np.ndarray |
             if gap > MAX_GAP:
                 run = []
         run.append(m)
-        best = max(best, *[sum(x[2] for x in run[k:]) * _dense(run[k:]) for k in range(len(run))])
-    return best / len(item)
+        for k in range(len(run)):
+            covered = sum(x[2] for x in run[k:]) * _dense(run[k:])
+            if covered > best:
+                best, start = covered, low + run[k][1] - run[k][0]
+    return best / len(item), start
 
 
 #: Letters that may be changed, added or missing between two matching parts, and the part of a stretch that must match.
 MAX_GAP = 10
 DENSITY = 0.85
-#: Letters of the short n-grams of the first check, and the part of a text they must cover, of the wanted share.
-SHORT, FIRST = 6, 0.7
 
 
 def _dense(run: list[tuple[int, int, int]]) -> bool:
@@ -168,34 +247,27 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                 if len(letters) >= N:
                     names.append((r["item"], name))
                     sides.append(letters)
-        grams = np.unique(np.concatenate([hash_grams(s, N) for s in sides])) if sides else np.zeros(0, dtype=np.uint64)
-        if not len(grams):
+        if not sides:
             continue
-        probes = choose_probes(sides, grams, gram_counts(docs, grams), share)
-        used, place = np.unique(probes["gram"].to_numpy(), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        posting = np.concatenate((probes[["side", "pos"]].to_numpy()[order], np.zeros((0, 2), dtype=np.int64)))
-        starts = np.searchsorted(place[order], np.arange(len(used) + 1))
-        own = spark.sparkContext.broadcast((grams[used], starts, posting, sides, names))
+        own = spark.sparkContext.broadcast((ItemTexts(sides, share), names))
 
         def verify(batches: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
-            probe_grams, begin, post, letters, who = own.value
-            short = [np.unique(hash_grams(x, SHORT)) for x in letters]
+            known, who = own.value
             for batch in batches:
                 texts, keys, out = batch["text"].tolist(), batch["key"].tolist(), []
-                for a, row, pos, i in _scan(texts, probe_grams):
-                    candidates: dict[int, dict[tuple[int, int], int]] = {}
-                    for r, p, g in zip(row.tolist(), pos.tolist(), i.tolist()):
-                        for side, q in post[begin[g] : begin[g + 1]].tolist():
-                            candidates.setdefault(r, {}).setdefault((side, (p - q) // 40), p - q)
-                    for r, pairs in candidates.items():
-                        doc = fold(texts[a + r])
-                        best: dict[int, tuple[float, int]] = {}
-                        for (side, _), at in pairs.items():
-                            covered = best_stretch(letters[side], doc, at, short[side], share)
-                            if covered >= share and covered > best.get(side, (0.0, 0))[0]:
-                                best[side] = (covered, at)
-                        out += [(keys[a + r], *who[side], at, covered) for side, (covered, at) in best.items()]
+                for a, row, pos, i in _scan(texts, known.grams):
+                    best: dict[tuple[int, int], tuple[float, int]] = {}
+                    last, doc = -1, np.zeros(0, dtype=np.uint32)
+                    for found in candidates(known, row, pos, i):
+                        for r, side, least, most in zip(*(x.tolist() for x in found)):
+                            if r != last:
+                                last, doc = r, fold(texts[a + r])
+                            if not may_carry(known.sides[side], doc, least, most, share):
+                                continue
+                            covered, start = best_stretch(known.sides[side], doc, least, most)
+                            if covered >= share and covered > best.get((r, side), (0.0, 0))[0]:
+                                best[r, side] = (covered, start)
+                    out += [(keys[a + r], *who[side], start, covered) for (r, side), (covered, start) in best.items()]
                 yield pd.DataFrame(out, columns=[key, item_key, "side", "start", "covered"]).astype({"start": "int32", "covered": "float64"})
 
         hits = docs.mapInPandas(verify, schema)

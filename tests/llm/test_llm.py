@@ -396,6 +396,23 @@ def test_leaks(spark, empty):
     assert {r.doc_id for r in leakage.clean_documents(docs.where("doc_id is not null"), leakage.leaks(docs, items)).collect()} == {3, 4, 5, 6}
 
 
+def test_edits_do_not_hide_a_leak(spark):
+    """The only copy in the corpus, with changes: the n-grams over a change and outside the leaked part occur nowhere."""
+    rng, items, docs = random.Random(5), [], []
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    for i in range(60):
+        item = "".join(word() for _ in range(22))[:120]
+        part = list(item[: 60 + 12])
+        for k in range(4 if i % 2 else 2):  # four letters, or two runs of four
+            at = rng.randrange(6, 12) + k * (17 if i % 2 else 30)
+            part[at : at + (1 if i % 2 else 4)] = "0ж" if i % 2 else "жжжж"
+        items.append((i, item, None))
+        docs.append((i, " ".join(word() for _ in range(30)) + "".join(part) + " ".join(word() for _ in range(30))))
+    items = spark.createDataFrame(items, "item_id bigint, question string, evidence string")
+    hits = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items)
+    assert {(r.doc_id, r.item_id) for r in hits.collect()} == {(i, i) for i in range(60)}
+
+
 # --- 10 residue
 
 
