@@ -12,8 +12,9 @@
 * language: script shares and stopword votes of prompt and response.
 
 Defined cases: a null response is empty; a null prompt can be neither copied nor differ in language;
-null in_scope counts as in scope; an empty response has no other defect; a refusal or a copy is
-neither truncated nor in another language; each repeated pair is reported under its own id.
+null in_scope counts as in scope; an empty response has no other defect; a copy isn't a refusal too, but
+either, and a refusal out of scope, may be truncated or in another language (refusals are truncated by
+their own signs, without the end statistics); each repeated pair is reported under its own id.
 """
 
 from __future__ import annotations
@@ -138,6 +139,14 @@ def is_copy(question: str | None, answer: str) -> bool:
     return longest >= 0.8 * len(q) and end - covered <= max(3, 0.06 * end)
 
 
+def stops_before_its_end(question: str, answer: str) -> bool:
+    """Whether a copy lacks the last letters of the question; as many letters may follow them as in ``is_copy``."""
+    q, a = _plain(question), _plain(_PARTICLE.sub("", answer.strip()))
+    own = _plain(_PARTICLE.sub("", question.strip())) or q
+    more = max(3, int(0.06 * len(a)))
+    return not any(end[-4:] in a[-4 - more :] for end in (q, own))
+
+
 def is_refusal(answer: str) -> bool:
     m = _REFUSAL.search(answer)
     if not m:
@@ -308,15 +317,18 @@ def defects(question: str | None, answer: str | None, in_scope: bool | None) ->
     """(defects, whether the end statistics must still tell if the answer is truncated)."""
     if is_empty(answer):
         return ["empty"], False
-    if is_copy(question, answer):
-        return ["copy"], False
-    if is_refusal(answer):
-        return (["refusal"] if in_scope is not False else []), False
-    cut = is_truncated(answer)
-    found = ["truncated"] if cut else []
+    found, declined = [], False
+    if copied := is_copy(question, answer):
+        found.append("copy")
+    elif (declined := is_refusal(answer)) and in_scope is not False:
+        found.append("refusal")
+    # the question shows where a copy ends; other answers' ends don't, as they go on after it and after the usual refusals
+    cut = stops_before_its_end(question, answer) if copied else is_truncated(answer)
+    if cut:
+        found.append("truncated")
     if other_language(question, answer):
         found.append("language")
-    return found, cut is None
+    return found, cut is None and not declined
 
 
 _THAI_RUN = re.compile("[\u0e00-\u0e7f]{6}")

@@ -293,6 +293,20 @@ def test_defects(q, a, scope, want):
     assert qa_defects.defects(q, a, scope)[0] == want
 
 
+@pytest.mark.parametrize(
+    "q,a,scope,want",
+    [
+        ("สวิตช์ของโรงเรียนทำหน้าที่อะไร", "I'm sorry, but I can't help with that.", True, ["refusal", "language"]),
+        ("สวิตช์ของโรงเรียนทำหน้าที่อะไร", "I'm sorry, but I can't help with that.", False, ["language"]),
+        ("What does the switch do?", "I'm sorry, but I can't help with that, because the school and", None, ["refusal", "truncated"]),
+        ("What does the switch do?", "I'm sorry, but I can't help with that, because the school and", False, ["truncated"]),
+        ("What does the switch do at the school?", "What does the switch do at the", True, ["copy", "truncated"]),
+    ],
+)
+def test_refusals_and_copies_may_have_a_second_defect(q, a, scope, want):
+    assert qa_defects.defects(q, a, scope)[0] == want
+
+
 def test_end_statistics_find_a_cut_answer(spark):
     rows = [(i, "ผู้ดูแลระบบทำอะไร", f"ผู้ดูแลระบบตรวจสอบตารางเส้นทางทุกภาคเรียน นายทะเบียนรับรองสำเนาคำสั่งโดยไม่ชักช้า{'ครับ' if i % 2 else ''}", True) for i in range(40)]
     rows += [(100, "ผู้ดูแลระบบทำอะไร", "ผู้ดูแลระบบตรวจสอบตารางเส้นทางทุกภาคเรียน นายทะเบียนรับรองสำเนาคำสั่", True), (None, None, None, None), (101, None, "", None)]
