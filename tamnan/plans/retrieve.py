@@ -178,6 +178,19 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("qid", "pos", "doc_id", F.round("score", 6).alias("score"), zero("dense_score"), zero("lexical_score"), "dense_rank", "lexical_rank", "in_scope")
 
 
+@register(
+    f"""WITH {_SEATED} SELECT qid, string_agg('[' || pos || '] ' || coalesce(title, '') || chr(10) || text, chr(10) || chr(10) ORDER BY pos) AS block
+    FROM (SELECT qid, doc_id, pos FROM fin) JOIN (SELECT doc_id, title, text FROM documents WHERE text IS NOT NULL) USING (doc_id) GROUP BY 1"""
+)
+def hits_context_block(spark: SparkSession, sf: str) -> DataFrame:
+    """The retrieved hits of each query, a bounded list, numbered and whole, as one block."""
+    hits = R.seated(_penalised(spark, sf), score="score").select("qid", "doc_id", F.col("pos").cast("int").alias("pos"))
+    texts = read(spark, sf, "documents").select("doc_id", "title", "text").where("text IS NOT NULL").join(broadcast_if_small(hits), "doc_id")
+    line = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), "text")
+    items = F.array_sort(F.collect_list(F.struct("pos", line.alias("l"))))
+    return texts.groupBy("qid").agg(F.array_join(F.transform(items, lambda s: s["l"]), "\n\n").alias("block"))
+
+
 @register(f"WITH {_FUSED} SELECT qid, round(coalesce(max(dense_score), 0), 6) AS max_dense, coalesce(max(dense_score), 0) >= 0.46 AS in_scope FROM pen GROUP BY 1")
 def gate(spark: SparkSession, sf: str) -> DataFrame:
     return R.gate(_penalised(spark, sf)).select("qid", F.round("max_dense", 6).alias("max_dense"), "in_scope")

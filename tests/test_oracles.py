@@ -41,3 +41,11 @@ def test_top_k_is_limited_before_the_shuffle(spark, sf):
 def test_no_cartesian_product(spark, sf):
     for name in ("hybrid_search", "fusion_grid", "neighbour_expand", "interval_photos", "containment_join", "coverage_probe"):
         assert "CartesianProduct" not in plan(QUERIES[name](spark, sf)), name
+
+
+def test_context_holds_every_hit_whole(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    blocks = {r.qid: r.block for r in QUERIES["hits_context_block"](spark, sf).collect()}
+    hits = QUERIES["hybrid_search"](spark, sf).collect()
+    assert max(h.pos for h in hits) > 6 and {h.qid for h in hits} == set(blocks)
+    assert all(f"[{h.pos}] " in blocks[h.qid] and (texts[h.doc_id] or "") in blocks[h.qid] for h in hits)
