@@ -464,3 +464,12 @@ def test_query_sql(spark, sf):
     for name, sql in queries.SQL.items():
         want = con.execute(sql).to_arrow_table()
         assert compare.difference(queries.QUERIES[name](spark, sf).toArrow(), want) == "", name
+
+
+def test_residue_of_unlisted_syntax_long_units_and_repeated_pages(spark):
+    rows = ["Dear {{title}},\nThe panel met.", "Dear [[author]],\nThe fee rose.", "Dear (fill title in here),\nMinutes follow.", "Dear (and honoured) guests,\nMinutes follow."]
+    rows += ["From: {{title}}", "From: <<title>>", "From: ${title}"]
+    rows += ["This is real content " * 6 + "{{customer_name}} and more text of it", "Our style guide says a draft may show {{ name }} in the place of a name, but print never does " * 3]
+    rows += ["test - test - test - test - test", "Warning: cannot reach /var/www/a.php on line 3", "Blindtext Blindtext Blindtext Blindtext"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.find_residue(docs).select("doc_id").distinct().collect()} == {0, 1, 2, 4, 5, 6, 7, 9, 10, 11}
