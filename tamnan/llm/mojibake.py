@@ -32,8 +32,6 @@ K = 704
 BIAS = 0.5
 MIN_SEGMENT = 4.0
 UNSEEN = -6.0
-#: Lengths of the windows that stand for segments when texts are picked.
-WINDOWS = (1, 2, 3, 4, 6, 9, 14, 24, 48)
 #: Most that a pair that never occurs can be worth.
 NEVER = -2.5
 
@@ -101,6 +99,27 @@ SINGLE = (("latin-1", "cp874"), ("cp1252", "cp874"), ("mac_roman", "cp874"), ("m
 #: True encodings of two bytes a character; all are tried, as each makes characters of the others' bytes.
 WIDE = ("gbk", "shift_jis", "euc_jp")
 IMAGES = {name: _image_regex(name) for name in BYTES}
+_IN = {name: re.compile(_class(m)) for name, m in BYTES.items()}
+_ASCII_LETTER, _THAI, _THREE_THAI = re.compile("[A-Za-z]"), re.compile("[ก-๛]"), re.compile("[\u0e01-\u0e5b]{3}")
+
+
+def _decoded(name: str, true: str) -> dict[int, str]:
+    """What each character that ``name`` makes of a byte is in ``true``; U+FFFD where that has none."""
+    return {ord(c): bytes([b]).decode(true, "replace") for c, b in BYTES[name].items()}
+
+
+DECODED = {pair: _decoded(*pair) for pair in SINGLE}
+
+
+def _count(name: str, s: str) -> int:
+    """How many characters of ``s`` are images of a byte under ``name``."""
+    return len(_IN[name].findall(s))
+
+
+def _n_ascii(s: str) -> int:
+    return len(s.encode("ascii", "ignore"))
+
+
 _SEED = re.compile("[ÂÃâà-ïÐÑ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,2}[ÂÃâà-ïÐÑ]?|[¡-ÿ]{4}|(?:เ[ธน][\u0080-\u00a0€…‘’“”•–—ก-ฟ?�]){3}|[αΓ][╕╣Ç]|[∞‡·≈∂√ƒ]{2}|[a-zß-ÿ][ก-ฺเ-๛][a-zß-ÿ]|[a-zß-ÿ][À-ÖØ-Þ‰‚¸][a-zß-ÿ]|∞|�")
 
 
@@ -171,6 +190,7 @@ class Restorer:
     def __init__(self, pmi: np.ndarray):
         self.pmi = pmi
         self.seen = pmi.max(axis=1) > NEVER
+        self.images: dict[tuple[str, str], str] = {}
 
     def badness(self, text: str) -> tuple[float, float]:
         """(sum of the improbable part, minus the mean information): smaller is more like the corpus."""
@@ -200,31 +220,35 @@ class Restorer:
         return [(a, b) for a, b in merged]
 
     def promising(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Which texts of a block hold a stretch of pairs that scores as much as a segment must.
+        """Which texts of a block hold a segment of ``MIN_SEGMENT`` and a character beyond ASCII (without one no mapping applies).
 
-        Sums over windows of growing length stand for the segments; a pair of ASCII characters opens none.
+        The best segment of a text is the largest rise of the running sum of its scores; between texts the
+        sum falls by more than it can have risen, so one running minimum serves the whole block.
         """
         n = len(offsets) - 1
+        found = np.zeros(n, dtype=bool)
         if len(codes) < 2:
-            return np.zeros(n, dtype=bool)
+            return found
         c = classes(codes)
-        score = -self.pmi[c[:-1], c[1:]] - BIAS
-        score[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(codes))] - 1] = -1e3
-        total = np.concatenate(([0.0], np.cumsum(score, dtype=np.float64)))
+        score = (-self.pmi[c[:-1], c[1:]] - BIAS).astype(np.float64)
+        inner = offsets[1:-1]
+        inner = inner[(inner > 0) & (inner < len(codes))] - 1
+        score[inner] = 0.0
+        rise = np.concatenate(([0.0], np.cumsum(np.maximum(score, 0.0))))
+        edges = np.unique(inner)
+        score[edges] = -np.diff(np.concatenate(([0.0], rise[edges]))) - 1.0
+        total = np.concatenate(([0.0], np.cumsum(score)))
+        at = np.flatnonzero(total - np.minimum.accumulate(total) >= MIN_SEGMENT - 1e-6)
+        found[np.unique(np.searchsorted(offsets, at, side="right") - 1)] = True
         strange = np.concatenate(([0], np.cumsum(codes > 0x7F)))
-        found = np.zeros(n, dtype=bool)
-        for length in WINDOWS:
-            if length < len(total):
-                at = np.flatnonzero(total[length:] - total[:-length] >= MIN_SEGMENT - 1e-3)
-                at = at[strange[np.minimum(at + length + 1, len(codes))] > strange[at]]
-                found[np.unique(np.searchsorted(offsets, at, side="right") - 1)] = True
-        return found
+        return found & (strange[offsets[1:]] > strange[offsets[:-1]])
 
     def restore(self, text: str) -> tuple[str, str, bool]:
         """(restored text, encodings as ``read>true`` joined by +, lossy)."""
         how: list[str] = []
         lossy = False
-        for _ in range(4):
+        seen = {text}
+        while True:
             out, last, changed = [], 0, False
             for a, b in self.runs(text, MIN_SEGMENT / 3 if how else MIN_SEGMENT):
                 if a < last:
@@ -238,12 +262,14 @@ class Restorer:
             if not changed:
                 break
             text = "".join(out) + text[last:]
+            if text in seen:  # mappings that undo each other
+                break
+            seen.add(text)
         return text, "+".join(dict.fromkeys(how)), lossy
 
     def invert(self, text: str, a: int, b: int) -> tuple[str, str, bool] | None:
         run = text[a:b]
-        high = sum(ord(c) > 0x7F for c in run)
-        if not high:
+        if run.isascii():
             return None
         around = lambda s: text[max(0, a - 1) : a] + s + text[b : b + 1]
         before = self.badness(around(run))
@@ -252,8 +278,6 @@ class Restorer:
             worth = self.badness(around(new.replace("�", "")))
             if best is None or worth < best[0]:
                 best = (worth, (new, name, lost))
-                if worth[0] <= 0.05 * before[0] and not name.endswith(WIDE):
-                    break  # nothing improbable is left
         if best is None:
             return None
         return best[1] if best[0][0] < before[0] - 1.0 or (best[0][0] <= before[0] and best[0][1] < before[1] - 0.3) else None
@@ -262,9 +286,11 @@ class Restorer:
         """(decoded run, encodings, lossy) of the inverse mappings that fit the run at all."""
         run = text[a:b]
         for name in BYTES:
-            current, lost, depth = run, False, 0
-            while depth < 3 and IMAGES[name].search(current) and (got := self._utf8(current, name, sum(c in BYTES[name] for c in current))):
-                current, lost, depth = got[0], lost or got[1], depth + 1
+            current, lost = run, False
+            while IMAGES[name].search(current) and (got := self._utf8(current, name, _count(name, current))):
+                if got[0] == current:
+                    break
+                current, lost = got[0], lost or got[1]
                 yield current, f"{name}>utf-8", lost
         for name, true in SINGLE:
             if true == "cp1252" and not self._latin(text, a, b):
@@ -279,22 +305,22 @@ class Restorer:
     def _latin(text: str, a: int, b: int) -> bool:
         """Whether the run's high characters stand singly (at most two together) in Latin text."""
         near = text[max(0, a - 60) : b + 60]
-        latin = sum(c.isascii() and c.isalpha() for c in near)
-        other = sum("\u0e01" <= c <= "\u0e5b" for c in near)
-        return other < 0.2 * latin and not re.search("[\u0e01-\u0e5b]{3}", text[a:b])
+        latin, other = len(_ASCII_LETTER.findall(near)), len(_THAI.findall(near))
+        return other < 0.2 * latin and not _THREE_THAI.search(text[a:b])
 
     @staticmethod
     def _wide(run: str, true: str) -> str | None:
         m = BYTES["latin-1"]
-        high = sum(c in m for c in run)
-        if high < 4 or any(ord(c) > 0x7F and c not in m for c in run):
+        high = _count("latin-1", run)
+        if high < 4 or len(run) - _n_ascii(run) > high:
             return None
         out = bytes(m.get(c, ord(c)) for c in run).decode(true, "replace")
         wide = sum(ord(c) >= 0x3000 for c in out)
         return out if 2 * wide >= 0.9 * high and out.count("�") <= 1 and not re.search("[\uff61-\uff9f]", out) else None
 
     def _utf8(self, run: str, name: str, high: int) -> tuple[str, bool] | None:
-        m, valid, lost, covered, longest, chain, last = BYTES[name], 0, 0, 0, 0, 0, -1
+        valid = lost = covered = longest = chain = 0
+        last = -1
 
         def one(match: re.Match) -> str:
             nonlocal valid, lost, covered, longest, chain, last
@@ -305,13 +331,12 @@ class Restorer:
                 got = "�"
                 lost += 1
             else:
-                try:
-                    got = bytes(m[c] for c in s).decode("utf-8")
-                except UnicodeDecodeError:
-                    return s
-                if ord(got) >= 0x180 and got not in ANY_IMAGE and not self.seen[classes(np.array([ord(got)]))[0]]:
-                    return s
-                if name == "cp874" and 0x180 <= ord(got) < 0xE00:
+                got = self.images.get((name, s))
+                if got is None:
+                    if len(self.images) > 100_000:
+                        self.images.clear()
+                    got = self.images[name, s] = self._image(name, s)
+                if got == s:
                     return s
                 valid += 1
             covered += len(s)
@@ -326,34 +351,30 @@ class Restorer:
             return None
         return out, bool(lost)
 
+    def _image(self, name: str, s: str) -> str:
+        """The character that ``s`` is the image of, or ``s`` where it is none or one the corpus never has."""
+        try:
+            got = bytes(BYTES[name][c] for c in s).decode("utf-8")
+        except UnicodeDecodeError:
+            return s
+        if ord(got) >= 0x180 and got not in ANY_IMAGE and not self.seen[classes(np.array([ord(got)]))[0]]:
+            return s
+        return s if name == "cp874" and 0x180 <= ord(got) < 0xE00 else got
+
     @staticmethod
     def _single(run: str, name: str, true: str) -> tuple[str, bool] | None:
-        m, out, letters, lost, other = BYTES[name], [], 0, 0, 0
-        for c in run:
-            if ord(c) < 0x80:
-                out.append(c)
-            elif c == "�":
-                out.append(c)
-                lost += 1
-            elif c in m:
-                try:
-                    d = bytes([m[c]]).decode(true)
-                except UnicodeDecodeError:
-                    d = "�"
-                    lost += 1
-                letters += 1
-                out.append(d)
-            else:
-                other += 1
-                out.append(c)
+        out = run.translate(DECODED[name, true])
+        letters = _count(name, run)
+        lost = out.count("�")
+        other = len(run) - _n_ascii(run) - run.count("�") - letters
         if other > letters:
             return None
         if true == "cp874":
-            if letters < 3 or not re.search("[\u0e01-\u0e5b]{3}", "".join(out)) or sum("ก" <= c <= "๛" for c in out) < 0.8 * (letters + other):
+            if letters < 3 or not _THREE_THAI.search(out) or len(_THAI.findall(out)) < 0.8 * (letters + other):
                 return None
         elif not letters and not lost or name == "cp437" and lost + other:
             return None
-        return "".join(out), bool(lost)
+        return out, bool(lost)
 
 
 def repair_garbled(texts: DataFrame, key: str, text: str = "text", pmi: np.ndarray | None = None) -> DataFrame:

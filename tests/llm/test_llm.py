@@ -473,3 +473,23 @@ def test_residue_of_unlisted_syntax_long_units_and_repeated_pages(spark):
     rows += ["test - test - test - test - test", "Warning: cannot reach /var/www/a.php on line 3", "Blindtext Blindtext Blindtext Blindtext"]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
     assert {r.doc_id for r in residue.find_residue(docs).select("doc_id").distinct().collect()} == {0, 1, 2, 4, 5, 6, 7, 9, 10, 11}
+
+
+def test_garbled_preselection_is_the_segment_test():
+    from tamnan.functions.charblocks import blocks
+
+    rng = np.random.default_rng(5)
+    pmi = rng.normal(1.0, 2.5, (mojibake.K, mojibake.K)).astype(np.float32)
+    worker = mojibake.Restorer(pmi)
+    alphabet = "abcdeéçกขค"
+    texts = ["".join(rng.choice(list(alphabet), n)) for n in rng.integers(0, 40, 400)] + ["", None, "a", "é"]
+
+    def segment(t):
+        c = mojibake.classes(np.array([ord(x) for x in t], dtype=np.uint32))
+        return any(s >= mojibake.MIN_SEGMENT for *_, s in mojibake.maximum_segments(-pmi[c[:-1], c[1:]] - mojibake.BIAS))
+
+    got = np.zeros(len(texts), dtype=bool)
+    for a, b, codes, offsets in blocks(texts, 300):
+        got[a:b] = worker.promising(codes, offsets)
+    want = [bool(t) and len(t) > 1 and not t.isascii() and segment(t) for t in texts]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
