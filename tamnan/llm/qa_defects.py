@@ -2,7 +2,7 @@
 
 * copy: a suffix automaton of the prompt is traversed with the response; what isn't covered by long
   shared substrings must be next to nothing.
-* refusal: an automaton of refusal phrases, unless the pair is marked out of scope.
+* refusal: an Aho-Corasick automaton of refusal phrases, unless the pair is marked out of scope.
 * truncated: a stack of open delimiters, dangling words and abbreviations, missing terminators in
   scripts that have them, and, for Thai, end statistics: over all responses it is counted how often
   the last characters of a response end a sentence and how often they go on; a response whose last
@@ -27,7 +27,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamnan.functions.charblocks import hash_grams
 from tamnan.functions.cluster import columns, cut_lineage
 from tamnan.llm.sentences import NEVER, sentence_ends
 
@@ -38,26 +37,40 @@ EVIDENCE, CUT_SHARE = 6, 0.12
 
 # Fixed values.
 _EMPTY = frozenset("null none nan nil n/a na empty undefined tbd ว่าง ไม่มี [ว่าง] (ว่าง) [empty] (empty) <empty> noanswer no answer".split()) | {"no answer", "n.a."}
-_REFUSAL = re.compile(
-    r"(?:ขอผ่าน|ไม่อนุญาตให้ตอบ|(?:ขอไม่|ไม่ขอ|มิอาจ|ไม่อาจ|ไม่สามารถ|ไม่สะดวก|ไม่ประสงค์จะ|ปฏิเสธที่จะ)(?:ที่จะ|จะ)?(?:ตอบ|ให้คำตอบ|ให้ข้อมูล|ให้คำแนะนำ|ให้ความเห็น|ช่วย)|(?:ตอบ|ให้ข้อมูล|ให้คำแนะนำ|ให้คำตอบ|ช่วย)(?:เรื่องนี้|ส่วนนี้|คำถามนี้|ประเด็นนี้)?(?:ให้)?(?:ยัง)?ไม่ได้|ไม่มีข้อมูลเพียงพอที่จะตอบ|หาคำตอบ\S*ไม่พบ)"
-    r"|\b(?:(?:can.?t|cannot|can not|won.?t|unable to|not able to|not allowed to|must decline to|decline to) (?:help|answer|assist|provide|discuss|respond|share|comply)|rather not (?:answer|say|respond)|not enough information (?:for me )?to (?:respond|answer)|i (?:must |have to )?(?:decline|refuse))\b"
-    r"|je ne (?:peux|suis) pas|je regrette|désolé, (?:mais )?je|(?:kann|darf) ich (?:ihnen )?(?:leider )?nicht|leider kann ich|nicht beantworten|无法回答|不能回答|无法提供|很抱歉|お答えでき|回答できま|申し訳(?:ありません|ございません)|उत्तर नहीं दे सक|क्षमा करें",
-    re.I,
-)
+# what can't be done, by whom it is softened, and what is declined; every combination is a phrase of the automaton
+_TH_NOT = "ขอไม่ ไม่ขอ มิอาจ ไม่อาจ ไม่สามารถ ไม่สะดวก ไม่ประสงค์จะ ปฏิเสธที่จะ".split()
+_TH_VERBS = "ตอบ ให้คำตอบ ให้ข้อมูล ให้คำแนะนำ ให้ความเห็น ช่วย".split()
+_TH_OBJECTS = ["", "เรื่องนี้", "ส่วนนี้", "คำถามนี้", "ประเด็นนี้"]
+_EN_NOT = ["can't", "cant", "cannot", "can not", "won't", "wont", "unable to", "not able to", "not allowed to", "must decline to", "decline to"]
+_EN_VERBS = "help answer assist provide discuss respond share comply".split()
+_DE_NOT = [f"{verb} ich {soft}nicht" for verb in ("kann", "darf") for soft in ("", "ihnen ", "leider ", "ihnen leider ")]
+_REFUSALS = [
+    *(a + soft + verb for a in _TH_NOT for soft in ("", "ที่จะ", "จะ") for verb in _TH_VERBS),
+    *(verb + thing + to + still + "ไม่ได้" for verb in _TH_VERBS for thing in _TH_OBJECTS for to in ("", "ให้") for still in ("", "ยัง")),
+    *"ขอผ่าน ไม่อนุญาตให้ตอบ ไม่มีข้อมูลเพียงพอที่จะตอบ 无法回答 不能回答 无法提供 很抱歉 お答えでき 回答できま 申し訳ありません 申し訳ございません".split(),
+    *(f"{a} {verb}" for a in _EN_NOT for verb in _EN_VERBS),
+    *(f"rather not {verb}" for verb in ("answer", "say", "respond")),
+    *(f"not enough information {who}to {verb}" for who in ("", "for me ") for verb in ("answer", "respond")),
+    *(f"i {must}{verb}" for must in ("", "must ", "have to ") for verb in ("decline", "refuse")),
+    *_DE_NOT, "leider kann ich", "nicht beantworten", "je ne peux pas", "je ne suis pas", "je regrette", "désolé, je", "désolé, mais je", "उत्तर नहीं दे सक", "क्षमा करें",
+]
+#: A search that found nothing, told in two parts with anything between them but a blank; what a rule about others, not a refusal, goes on with.
+_SEARCHED, _NOTHING, _OF_OTHERS = "หาคำตอบ", "ไม่พบ", re.compile("แทนผู้อื่น|หากไม่พบหลักฐาน")
 _INTRO = re.compile(r"^(?:ที่ถามว่า|คำถาม(?:คือ)?|ถาม|คุณถามว่า|q|question|you asked|the question is|frage|die frage lautet|la question est|问题|問題|质问|質問|प्रश्न)[\s::]*", re.I)
+_PARTICLES = ("ครับ", "ค่ะ", "คะ", "จ้ะ", "จ้า")
 _PARTICLE = re.compile(r"(?:นะ)?(?:ครับ|ค่ะ|คะ|จ้ะ|จ้า)+$")
 _CITATION = re.compile(r"(?:\s*(?:\[\d+(?:[,–-]\s?\d+)*\]|[((](?:บทที่|หน้า|ข้อ|มาตรา|p\.|pp\.|ch\.|S\.)[^()()]*[))]))+$")
 _DANGLING = re.compile(r"(?:และ|หรือ|รวมถึง|รวมทั้ง|หาก|ตามข้อ|ตามมาตรา|โดย|เช่น|ได้แก่|คือ|ของ|ซึ่ง|เพื่อ|แต่|เพราะ|เนื่องจาก|ดังนี้|กับ|ทั้งนี้|นอกจากนี้|ดังนั้น|อนึ่ง|พ\.ศ\.|[เแโใไ])$|[,،、，;:;:(\[“「『«„/]$|(?:^|\n)\s*(?:\d{1,2}[.)]|[-•*])$|\b(?:and|or|the|of|to|with|including|such as|und|oder|der|die|das|mit|et|ou|de|la|le|avec)$", re.I)
 _CLOSERS = ")]}”»」』）】\"’'›*"
 _PAIRS = {"(": ")", "[": "]", "“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】"}
 _STOP = {
-    "en": frozenset("the of and to is are was were in at on for a an that with by from who what when which why how does do did this it not be has have asked said keeps each every if under i you can my your".split()),
-    "fr": frozenset("le la les de du des un une et à que qui est a dans au aux pour par sur avant ne pas se ce cette son sa ses en il elle l d qu n s c j selon comment pourquoi depuis".split()),
-    "de": frozenset("der die das und den dem des ein eine einen einem in von zu mit auf ist nicht im seit über nach bat darum dass wer wie was sie es für bei als auch laut wird sich hat am wann".split()),
+    "en": frozenset("the of and to is are was were be been being in at on for a an that this these those with by from as it its he she they we you i my your his her their our not no but or if than then so who whom whose what which why when where how does do did have has had can could will would shall should may must there here about into over under after before each every all any some such only own same both more most other".split()),
+    "fr": frozenset("le la les l de du des d un une et ou à au aux que qu qui quoi dont où est sont était étaient été être a ont avait dans pour par sur avec sans sous ne n pas plus se s ce c cette ces son sa ses leur leurs mon ma mes nous vous ils elles il elle on y en je j me m te tu mais donc or ni car si comme quand comment pourquoi depuis avant après entre selon chaque tout tous toute toutes même très aussi".split()),
+    "de": frozenset("der die das dem den des ein eine einen einem einer eines und oder aber denn in im an am auf aus bei mit nach von vom zu zum zur über unter vor für durch gegen ohne um seit ist sind war waren sein hat haben hatte wird werden wurde nicht kein keine es er sie wir ihr ich man sich dass daß ob wenn weil als wie wer was wo wann warum welche welcher welches auch nur noch schon sehr mehr laut darum bis so da".split()),
 }
 _ASKS = re.compile(r"(?:แปล|ตอบ|เขียน|สรุป|อธิบาย|ขอ)\S*(?:เป็น|ด้วย)?ภาษา|เป็นภาษา(?:อังกฤษ|จีน|ญี่ปุ่น|ฝรั่งเศส|เยอรมัน|ฮินดี|ไทย)|\btranslat\w+|\b(?:in|into|auf|en|ins) (?:english|thai|french|german|chinese|japanese|hindi|englisch|deutsch|französisch|anglais|français|allemand|thaï)\b|\bübersetz|\btraduis|\btradui[rst]|翻译|翻訳|用(?:英|中|日|法|德|泰)[语文]|(?:英|中|日本|タイ|ドイツ|フランス)語で|अनुवाद|(?:अंग्रेज़ी|हिंदी) में", re.I)
 _SCRIPTS = (("th", "฀-๿"), ("kana", "぀-ヿ"), ("han", "一-鿿"), ("hi", "ऀ-ॿ"), ("latin", "A-Za-zÀ-ɏ"), ("cyrillic", "Ѐ-ӿ"), ("arabic", "؀-ۿ"), ("hangul", "가-힣"))
-_SCRIPT = {name: re.compile(f"[{r}]") for name, r in _SCRIPTS}
+_SCRIPT = {name: re.compile(f"[{r}]+") for name, r in _SCRIPTS}
 
 
 class SuffixAutomaton:
@@ -106,13 +119,21 @@ class SuffixAutomaton:
         return out
 
 
+_NO_LETTER = re.compile(r"[\W_]+")
+
+
 def _plain(s: str) -> str:
-    return "".join(c for c in s.casefold() if c.isalnum())
+    return _NO_LETTER.sub("", s.casefold())
+
+
+_LONGEST_EMPTY = max(map(len, _EMPTY))
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if len(_plain(answer)) > _LONGEST_EMPTY:
+        return False
     s = re.sub(r"[\s​-‏⁠﻿­]", "", answer).casefold()
     return not any(c.isalnum() for c in s) or s in _EMPTY or s.strip("[](){}<>\"'.*-—") in _EMPTY
 
@@ -123,7 +144,8 @@ def is_copy(question: str | None, answer: str) -> bool:
     q, a = _plain(question), _plain(_PARTICLE.sub("", _INTRO.sub("", answer.strip()).strip(" \n\"“”«»*.")))
     if len(q) < 4 or not a or len(a) < 0.6 * len(q):
         return False
-    if len(a) > 4 * len(q) + 40:
+    most = -(-8 * len(q) // 10)
+    if q[len(q) - most : most] not in a:  # every part of the prompt that makes up 0.8 of it holds this one
         return False
     least = max(4, int(0.5 * len(q)))
     covered, lengths = 0, SuffixAutomaton(q).match_lengths(a)
@@ -147,15 +169,34 @@ def stops_before_its_end(question: str, answer: str) -> bool:
     return not any(end[-4:] in a[-4 - more :] for end in (q, own))
 
 
+_AUTOMATON = None
+_RUN = re.compile(r"\S*")
+
+
 def is_refusal(answer: str) -> bool:
-    m = _REFUSAL.search(answer)
-    if not m:
-        return False
-    return not re.search(r"(?:แทนผู้อื่น|หากไม่พบหลักฐาน)", answer[m.start() : m.end() + 80])
+    """Whether a refusal phrase stands in the answer, Latin ones as whole words."""
+    global _AUTOMATON
+    if _AUTOMATON is None:
+        import ahocorasick
+
+        _AUTOMATON = ahocorasick.Automaton()
+        for phrase in (*_REFUSALS, _SEARCHED):
+            _AUTOMATON.add_word(phrase, phrase)
+        _AUTOMATON.make_automaton()
+    s = answer.lower().replace("’", "'")
+    for last, phrase in _AUTOMATON.iter(s):
+        first, end = last - len(phrase) + 1, last + 1
+        if phrase[0].isascii() and first and s[first - 1].isalnum() or phrase[-1].isascii() and s[end : end + 1].isalnum():
+            continue
+        if phrase == _SEARCHED and _NOTHING not in _RUN.match(s, end).group(0):
+            continue
+        if not _OF_OTHERS.search(s[first : end + 80]):
+            return True
+    return False
 
 
 def script_shares(text: str) -> dict[str, float]:
-    counts = {name: len(rx.findall(text)) for name, rx in _SCRIPT.items()}
+    counts = {name: sum(map(len, rx.findall(text))) for name, rx in _SCRIPT.items()}
     total = sum(counts.values()) or 1
     return {k: v / total for k, v in counts.items()} | {"n": sum(counts.values())}
 
@@ -212,21 +253,49 @@ def _core(answer: str) -> str:
     """The answer without trailing citations and polite particles."""
     s = answer.strip()
     while True:
-        t = _PARTICLE.sub("", _CITATION.sub("", s)).rstrip()
+        t = _CITATION.sub("", s) if s.endswith((")", "]", "）")) else s
+        t = (_PARTICLE.sub("", t) if t.endswith(_PARTICLES) else t).rstrip()
         if t == s:
             return s
         s = t
 
 
-def _grams(text: str, k: int) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return hash_grams(codes, k) ^ np.uint64(k)
-
-
-def tail_hashes(answer: str) -> list[int]:
-    """One hash for each suffix length of a Thai answer's end, digits as 0; empty where the end is too short."""
-    masked = _masked(_core(answer))
-    return [int(_grams(masked[-k:], k)[0].astype(np.int64)) for k in SUFFIXES if len(masked) >= k + 3]
+class Grams:
+    """64-bit hashes of the n-grams of several texts at once, of any length from running sums; equal n-grams have equal hashes wherever they stand."""
+
+    BASE = 0x9E3779B97F4A7C15
+    INVERSE = pow(BASE, -1, 1 << 64)
+
+    def __init__(self, texts: list[str]):
+        self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        power = np.full(len(codes) + 1, self.BASE, dtype=np.uint64)
+        self.inverse = np.full(len(codes) + 1, self.INVERSE, dtype=np.uint64)
+        power[0] = self.inverse[0] = 1
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((codes + np.uint64(0x632BE59B)) * np.cumprod(power)[:-1], dtype=np.uint64)))
+            self.inverse = np.cumprod(self.inverse)
+
+    def at(self, start: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the ``k`` characters from each ``start``."""
+        with np.errstate(over="ignore"):
+            h = (self.total[start + k] - self.total[start]) * self.inverse[start] + np.uint64(k)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            return h ^ (h >> np.uint64(29))
+
+
+def tail_hashes(answers: list[str]) -> list[list[int]]:
+    """For each answer one hash for each suffix length of its end, digits as 0; none where the end is too short."""
+    masked = [_masked(_core(a)) for a in answers]
+    grams = Grams(masked)
+    out: list[list[int]] = [[] for _ in answers]
+    length, end = np.diff(grams.offsets), grams.offsets[1:]
+    for k in SUFFIXES:
+        enough = np.flatnonzero(length >= k + 3)
+        for i, h in zip(enough.tolist(), grams.at(end[enough] - k, k).astype(np.int64).tolist()):
+            out[i].append(h)
+    return out
 
 
 def breaks_off_a_name(question: str | None, answer: str) -> bool:
@@ -242,17 +311,31 @@ def breaks_off_a_name(question: str | None, answer: str) -> bool:
     return False
 
 
-def end_counts(answer: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, whether a sentence ends there) of all n-grams inside one answer but for its very end."""
-    masked = _masked(answer.strip())
-    ends = sentence_ends(masked)
-    core = len(_core(masked))
-    final = np.array([*ends[:-1], *([core] if core < len(masked) else [])], dtype=np.int64)
-    hashes, stops = [], []
+def end_counts(answers: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, whether a sentence ends there) of all n-grams inside the answers but for their very ends.
+
+    ``wanted``: bitmap of the hashes that matter.
+    """
+    masked = [_masked(a.strip()) for a in answers]
+    grams = Grams(masked)
+    final = np.zeros(int(grams.offsets[-1]) + 1, dtype=bool)
+    limit = np.zeros(len(masked), dtype=np.int64)  # where the last n-gram may end
+    for i, (m, first) in enumerate(zip(masked, grams.offsets.tolist())):
+        ends, core = sentence_ends(m), len(_core(m))
+        limit[i] = first + core - (core == len(m))
+        final[[first + e for e in ends[:-1]]] = True
+        if core < len(m):
+            final[first + core] = True
+    limit = np.repeat(limit, np.diff(grams.offsets))
+    hashes, stops = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=bool)]
     for k in SUFFIXES:
-        g = _grams(masked, k)[: max(0, core - k + (core < len(masked)))]
-        hashes.append(g)
-        stops.append(np.isin(np.arange(k, k + len(g)), final))
+        start = np.flatnonzero(np.arange(k, k + len(limit)) <= limit)
+        h = grams.at(start, k)
+        if wanted is not None:
+            keep = wanted[(h >> np.uint64(64 - BITS)).astype(np.int64)]
+            start, h = start[keep], h[keep]
+        hashes.append(h)
+        stops.append(final[start + k])
     return np.concatenate(hashes), np.concatenate(stops)
 
 
@@ -264,14 +347,7 @@ def suffix_evidence(pairs: DataFrame, tails: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts, stops = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=bool)]
-            for t in b["a"].tolist():
-                if t and _THAI_RUN.search(t):
-                    h, e = end_counts(t)
-                    keep = bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)]
-                    parts.append(h[keep])
-                    stops.append(e[keep])
-            h, e = np.concatenate(parts), np.concatenate(stops)
+            h, e = end_counts([t for t in b["a"].tolist() if t and _THAI_RUN.search(t)], bitmap)
             u, place = np.unique(h, return_inverse=True)
             total, ended = np.bincount(place, minlength=len(u)), np.bincount(place, weights=e, minlength=len(u)).astype(np.int64)
             yield pd.DataFrame({"h": u.astype(np.int64), "goes": total - ended, "ends": ended})
@@ -340,14 +416,15 @@ def pair_defects(pairs: DataFrame, key: str = "answer_id", question: str = "ques
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, open_ends = [], []
             for k, q, a, s in zip(b["key"].tolist(), b["q"].tolist(), b["a"].tolist(), b["s"].tolist()):
                 found, open_end = defects(q, a, None if s is None else bool(s))
-                tails = tail_hashes(a) if open_end else []
-                name = open_end and breaks_off_a_name(q, a)
-                if found or tails or name:
-                    rows.append((k, found, tails, name))
-            yield pd.DataFrame(rows, columns=["key", "found", "tails", "name"])
+                if open_end:
+                    open_ends.append((len(rows), a))
+                rows.append((k, found, [], open_end and breaks_off_a_name(q, a)))
+            for (i, _), tails in zip(open_ends, tail_hashes([a for _, a in open_ends])):
+                rows[i][2].extend(tails)
+            yield pd.DataFrame([r for r in rows if r[1] or r[2] or r[3]], columns=["key", "found", "tails", "name"])
 
     judged = cut_lineage(source.mapInPandas(run, "key bigint, found array<string>, tails array<bigint>, name boolean"))
     tails = judged.select("key", F.posexplode("tails").alias("rank", "h"))

@@ -493,3 +493,17 @@ def test_garbled_preselection_is_the_segment_test():
         got[a:b] = worker.promising(codes, offsets)
     want = [bool(t) and len(t) > 1 and not t.isascii() and segment(t) for t in texts]
     assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_copies_of_any_length_and_refusals_as_whole_phrases():
+    q = "Which switch carries the backbone traffic?"
+    assert all(qa_defects.is_copy(q, (q + " ") * n) for n in (1, 6, 60))
+    assert not qa_defects.is_copy(q, q + " The core switch has carried it since 2003.")
+    assert qa_defects.is_refusal("Sorry, I can’t help with that.") and qa_defects.is_refusal("ไม่สามารถให้คำตอบได้")
+    assert not qa_defects.is_refusal("Vacant helpers answered.") and not qa_defects.is_refusal("The cannot-answer rule.")
+
+
+def test_grams_are_the_same_wherever_they_stand():
+    grams = qa_defects.Grams(["abcabc", "", "xxabc"])
+    h = grams.at(np.array([0, 3, 8, 6]), 3)
+    assert h[0] == h[1] == h[2] != h[3]
