@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tamnan.functions.cluster import cut_lineage
 
 SHARD = 8192
+#: Most tasks that shards are spread over; more shards only make each task's list longer, not its memory.
+TASKS = 20_000
 GROUPS = 400
 #: An item below this part of the capacity is small.
 SMALL = 6
@@ -137,7 +139,8 @@ def pack_documents(counts: DataFrame, capacity: int, key: str = "doc_id") -> Dat
         raise ValueError(f"capacity {capacity}")
     sized = cut_lineage(counts.select(F.col(key).cast("bigint").alias("key"), F.coalesce("n_tokens", F.lit(0)).alias("n")))
     shards = max(1, -(-sized.count() // SHARD))
-    sharded = sized.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    # by number of tasks, which adaptive execution doesn't merge: the rows are small and the work on them isn't
+    sharded = sized.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(min(shards, TASKS), "shard")
 
     def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "key"], ascending=[False, True], kind="stable")
