@@ -507,3 +507,16 @@ def test_grams_are_the_same_wherever_they_stand():
     grams = qa_defects.Grams(["abcabc", "", "xxabc"])
     h = grams.at(np.array([0, 3, 8, 6]), 3)
     assert h[0] == h[1] == h[2] != h[3]
+
+
+def test_consensus_beyond_the_broadcast_bound(spark):
+    rng = random.Random(4)
+    truth = {f"q{i}": rng.randrange(4) for i in range(40)}
+    labels = spark.createDataFrame([r[:3] for r in codings(rng, truth, {"a": 0.9, "b": 0.8, "c": 0.5})], "item string, annotator string, code int")
+    groups = spark.createDataFrame([(i, f"g{n % 3}") for n, i in enumerate(truth)], "item string, grp string")
+    flat = lambda df: {r.item: (r.grp, r.n_labels, r.n_codes, [round(p, 3) for p in r.posterior]) for r in df.collect()}
+    a, ca = consensus.consensus(labels, [0, 1, 2, 3], groups, tolerance=1e-4)
+    b, cb = consensus.consensus(labels, [0, 1, 2, 3], groups, tolerance=1e-4, bound=1)
+    assert flat(a) == flat(b)
+    p = lambda df: {(r.annotator, r.truth, r.code): round(r.p, 2) for r in df.collect()}
+    assert p(ca) == p(cb)
