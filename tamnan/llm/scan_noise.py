@@ -1,13 +1,16 @@
 """Text from scanned pages: find the traces and repair it into continuous paragraphs.
 
-Layout: lines are told apart as prose, list, table, verse, heading, page number and running head
-(also by how many passages repeat a line once its digits are masked), prose lines are joined again and
-words cut at line ends closed.
-
 Characters: a noisy channel.  Character 4- and 5-grams of all passages are counted in hashed tables of
-fixed size.  A character is suspect if replacing it by one it is easily confused with makes the
-n-grams around it more probable by a large factor; each line with suspects is decoded by Viterbi over
-the candidates (channel cost plus n-gram likelihood).
+fixed size, each text by itself; what a cell holds by collisions alone is taken off.  A place is suspect if
+replacing what was read by what it is easily confused with makes the n-grams around it more probable by a
+large factor, or if a digit stands in a Latin word.  The suspects of all passages give the probability of each confusion.  The
+candidate words of a line form a lattice (what was read, and the confusions at suspect places); Viterbi
+finds its best path by confusion probability times n-gram likelihood, without a bound on the paths kept.  A passage has
+misread characters only if that path differs from what was read.
+
+Layout, which no channel over characters covers: lines are told apart as prose, list, table, verse,
+heading, page number and running head (also by how many passages repeat a line once its digits are
+masked), prose lines are joined again and words cut at line ends closed.
 
 Defined cases: null and empty texts bear no traces and are repaired as they are; a text of one line
 can only show misread characters and specks.
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamnan.functions.charblocks import blocks, hash_grams
-from tamnan.functions.cluster import columns
+from tamnan.functions.cluster import columns, cut_lineage
 
 #: log2 of the buckets of an n-gram table; evidence and ratio that make a character suspect; passages that make a line a running head.
 BITS = 22
@@ -39,7 +42,7 @@ _PAIRS = "บข กถ คด ลส มน ทห ตด ชซ ผฝ พฟ
 _LATIN = (("0", "o"), ("0", "l"), ("0", "i"), ("0", "s"), ("0", "b"), ("c", "e"), ("rn", "m"), ("li", "h"), ("ii", "u"), ("cl", "d"), ("vv", "w"))  # a digit is read as 0 here
 
 _PAGE = re.compile(r"^\W*(?:(?:หน้า|page|seite|p\.|s\.)\s*)?[\d๐-๙]{1,4}(?:\s*(?:of|von|sur|de|/|จาก)\s*[\d๐-๙]{1,4})?\W*$", re.I)
-_HEAD = re.compile(r"^\W*(?:เล่ม\s*[\d๐-๙]+\s*ตอน|บทที่\s*[\d๐-๙]+\s+\S|.{0,60}(?:ปีที่\s*[\d๐-๙]+\s*ฉบับที่|,\s*vol\. \d+|Chapter \d+ /|Bulletin No\. \d+|REGULATIONS AND NOTICES|ราชกิจจานุเบกษา))|^(?:ประมวลระเบียบวิชาชีพ|เอกสารเผยแพร่ภายใน)$")
+_HEAD = re.compile(r"^\W*(?:เล่ม\s*[\d๐-๙]+\s*ตอน|บทที่\s*[\d๐-๙]+\s+\S|.{0,60}(?:ปีที่\s*[\d๐-๙]+\s*ฉบับที่|[ ,](?:vol|no|nr|issue)\. ?\d+|(?:Chapter|Kapitel|Chapitre|Part) \d+ /))", re.I)
 _LIST = re.compile(r"^\s*(?:[-•*–]\s+\S|[\d๐-๙]{1,3}[.)]\s|\([\d๐-๙ก-ฮa-z]{1,3}\)\s|[\d๐-๙]+ \|)")
 _SECTION = re.compile(r"^\s*(?:[\d๐-๙]+(?:\.[\d๐-๙]+)+\s|หมวด\s|ส่วนที่\s|(?:ข้อ|มาตรา)\s[\d๐-๙])")
 _HYPHEN = re.compile(r"[^\W\d_][ั-๎]*[-­¬]$")
@@ -55,6 +58,8 @@ def _rules() -> list[tuple[str, str, bool]]:
 
 
 RULES = _rules()
+#: The digits that stand for a letter in a Latin word.
+_DIGIT_OF = {"o": "0", "l": "1", "i": "1", "s": "5", "b": "6"}
 _MASK = None
 
 
@@ -69,30 +74,45 @@ def _fold(codes: np.ndarray) -> np.ndarray:
     return _MASK[codes]
 
 
+def _framed(texts: list[str | None]) -> list[str | None]:
+    """Texts between blanks, so that their first and last characters have n-grams too."""
+    return [f"\n\n\n\n{t}\n\n\n\n" if t else t for t in texts]
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros((2, 1 << BITS), dtype=np.int32)
+    counts = np.zeros(2 << BITS, dtype=np.int64)
+    meant = np.zeros(len(RULES), dtype=np.int64)
     for b in batches:
-        for _, _, codes, offsets in blocks(b["text"].tolist(), 2_000_000):
+        for first, last, codes, offsets in blocks(_framed(b["text"].tolist()), 2_000_000):
             f = _fold(codes)
+            row = np.repeat(np.arange(last - first, dtype=np.int32), np.diff(offsets))
             for j, n in enumerate((4, 5)):
-                h = hash_grams(f, n)
-                if len(h):
-                    counts[j] += np.bincount(_bucket(h), minlength=1 << BITS).astype(np.int32)
-    flat = counts.reshape(-1)
-    at = np.flatnonzero(flat)
-    yield pd.DataFrame({"i": at.astype(np.int32), "n": flat[at].astype(np.int64)})
-
-
-def gram_tables(texts: DataFrame) -> np.ndarray:
-    """[4-grams, 5-grams] hashed counts over all rows of ``texts`` (column text): at most 2 * 2**BITS numbers."""
-    got = columns(texts.select("text").mapInPandas(_count, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")))
-    flat = np.zeros(2 << BITS, dtype=np.float32)
-    flat[got["i"].astype(np.int64)] = got["n"]
-    return flat.reshape(2, 1 << BITS)
+                h = hash_grams(f, n)[row[: max(0, len(f) - n + 1)] == row[n - 1 :]]
+                np.add(counts[j << BITS : (j + 1) << BITS], np.bincount(_bucket(h), minlength=1 << BITS), out=counts[j << BITS : (j + 1) << BITS])
+            for r, (_, m, _) in enumerate(RULES):
+                hit = f[: max(0, len(f) - len(m) + 1)] == ord(m[0])
+                for k in range(1, len(m)):
+                    hit = hit & (f[k : len(f) - len(m) + 1 + k] == ord(m[k]))
+                meant[r] += np.count_nonzero(hit)
+    at = np.flatnonzero(counts)
+    yield pd.DataFrame({"i": np.concatenate((at, (2 << BITS) + np.arange(len(RULES)))), "n": np.concatenate((counts[at], meant))})
+
+
+def gram_tables(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """([4-grams, 5-grams] hashed counts, how often what each rule means occurs) over all rows of ``texts`` (column text).
+
+    At most 2 * 2**BITS numbers.  The middle cell of a table holds nothing but what collisions bring, so it is taken off all:
+    0 while the table is sparse, and the mean noise of a cell when the corpus fills it.
+    """
+    got = columns(texts.select("text").mapInPandas(_count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")))
+    flat = np.zeros((2 << BITS) + len(RULES), dtype=np.float64)
+    flat[got["i"]] = got["n"]
+    tables = flat[: 2 << BITS].reshape(2, 1 << BITS)
+    return np.maximum(tables - np.median(tables, axis=1, keepdims=True), 0).astype(np.float32), flat[2 << BITS :]
 
 
 def line_frames(text: str) -> dict[str, bool]:
@@ -186,19 +206,17 @@ def layout_traces(text: str, heads: frozenset[str] = frozenset()) -> set[str]:
                 found.add("lines")
     if _SPECK.search(text) and not re.search(r"^\d+ \|.*\|", text, re.M):
         found.add("speck")
-    if _DIGIT_IN_WORD.search(text):
-        found.add("misread")
     return found
 
 
 class Channel:
-    """The noisy channel over hashed 4- and 5-gram counts."""
+    """The noisy channel over hashed 4- and 5-gram counts; ``costs``: minus the log probability of each rule's confusion."""
 
-    def __init__(self, tables: np.ndarray):
+    def __init__(self, tables: np.ndarray, costs: list[float] | None = None):
         self.four, self.five = tables
+        self.costs = costs
         self.known: dict[str, float] = {}
-        top = np.sort(self.five)[-(1 << 12) :] if len(self.five) > 1 << 12 else self.five
-        self.rare = max(2.0, float(top.max()) / RATIO)
+        self.rare = max(2.0, float(self.five.max()) / RATIO)
 
     def count5(self, grams: np.ndarray) -> np.ndarray:
         """Counts of the rows of a [m, 5] array of folded code points."""
@@ -209,26 +227,26 @@ class Channel:
                 h ^= h >> np.uint64(29)
         return self.five[_bucket(h)]
 
-    def suspects(self, codes: np.ndarray) -> list[tuple[np.ndarray, str, str]]:
-        """(positions, read, meant) over a whole block; positions near its edges are left out.
+    def suspects(self, codes: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(rows, positions within them, rule) of a block of framed texts.
 
         Three 5-grams that cover what was read are held against the three that cover what may have
         been meant; two must gain by ``RATIO``.
         """
         f = _fold(codes)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         h = hash_grams(f, 5)
-        out: list[tuple[np.ndarray, str, str]] = []
-        if len(h) < 12:
+        out: list[tuple[np.ndarray, np.ndarray, int]] = []
+        if len(h) < 5:
             return out
         c = self.five[_bucket(h)]
         lower = ((f >= 0x61) & (f <= 0x7A)) | ((f >= 0xDF) & (f <= 0xFF))
-        for read, meant, latin in RULES:
-            r = len(read)
+        for rule, (read, meant, latin) in enumerate(RULES):
+            r, m = len(read), len(meant)
             hit = f[: len(f) - r + 1] == ord(read[0])
             for k in range(1, r):
                 hit = hit & (f[k : len(f) - r + 1 + k] == ord(read[k]))
             at = np.flatnonzero(hit)
-            at = at[(at >= 4) & (at + r + 4 <= len(f)) & (at + r - 1 < len(c))]
             if latin:
                 at = at[lower[at - 1] | lower[at + r]]
             seen = np.stack([c[at - 4], c[at - 2], c[at + r - 1]], axis=1)
@@ -236,12 +254,12 @@ class Channel:
             at, seen = at[keep], seen[keep]
             if not len(at):
                 continue
-            m = len(meant)
             window = np.concatenate([f[at[:, None] + np.arange(-4, 0)], np.tile(np.array([ord(x) for x in meant], dtype=np.uint32), (len(at), 1)), f[at[:, None] + np.arange(r, r + 4)]], axis=1)
             better = np.stack([self.count5(window[:, k : k + 5]) for k in (0, 2, 3 + m)], axis=1)
+            own = row[at]
             ok = ((better >= MIN_COUNT) & (better >= RATIO * (seen + 0.5))).sum(axis=1) >= 2
             if ok.any():
-                out.append((at[ok], read, meant))
+                out.append((own[ok], at[ok] - 4 - offsets[own[ok]], rule))
         return out
 
     def _probability(self, tail: str, c: str) -> float:
@@ -269,19 +287,53 @@ class Channel:
         c = [float(self.five[_bucket(h[i : i + 1])[0]]) for i in range(len(h)) if i < b and i + 5 > a]
         return sorted(c)[len(c) // 2] if c else 0.0
 
-    def decode(self, line: str, options: dict[int, list[str]]) -> str:
-        """Viterbi over the candidates of a line: states are the last four characters."""
-        beam: dict[str, tuple[float, str]] = {"": (0.0, "")}
-        for i, c in enumerate(line):
-            found: dict[str, tuple[float, str]] = {}
-            for tail, (score, text) in beam.items():
-                for x in (c, *options.get(i, [])):
-                    s = score + self._probability(tail, x) - (3.0 if x != c else 0.0) if options else score
-                    key = (tail + x)[-4:]
-                    if key not in found or s > found[key][0]:
-                        found[key] = (s, text + x)
-            beam = dict(sorted(found.items(), key=lambda kv: -kv[1][0])[:16])
-        return max(beam.values())[1]
+    def decode(self, text: str, sites: list[tuple[int, int]]) -> str:
+        """``text`` with the best path through its lattice; ``sites``: (position, rule).
+
+        Four characters after the last alternative all paths have one state again, so the lattice is
+        decoded in stretches around its sites; the result is that of the whole text.
+        """
+        edges: dict[int, list[tuple[str, int, float]]] = {}
+        for p, rule in sites:
+            read, meant, _ = RULES[rule]
+            if read == "0":
+                if text[p] != _DIGIT_OF[meant]:
+                    continue
+            elif text[p : p + len(read)] != read:
+                continue
+            edges.setdefault(p, []).append((meant, len(read), self.costs[rule] if self.costs else 3.0))
+        out, done = [], 0
+        places = sorted(edges)
+        i = 0
+        while i < len(places):
+            end = places[i]
+            while i < len(places) and places[i] <= end + 4:
+                end = max(end, places[i] + max(length for _, length, _ in edges[places[i]]))
+                i += 1
+            first = max(done, min(p for p in places if p >= done))
+            last = min(len(text), end + 4)
+            out += [text[done:first], self._stretch(text, first, last, edges)]
+            done = last
+        return "".join(out) + text[done:]
+
+    def _stretch(self, text: str, first: int, last: int, edges: dict[int, list[tuple[str, int, float]]]) -> str:
+        states: list[dict[str, tuple[float, tuple | None]]] = [{} for _ in range(last - first + 1)]
+        states[0][text[max(0, first - 4) : first]] = (0.0, None)
+        for i in range(first, last):
+            for tail, (score, path) in states[i - first].items():
+                for new, length, cost in ((text[i], 1, 0.0), *edges.get(i, ())):
+                    s, t = score - cost, tail
+                    for c in new:
+                        s, t = s + self._probability(t, c), (t + c)[-4:]
+                    into = states[i + length - first]
+                    if t not in into or s > into[t][0]:
+                        into[t] = (s, (path, new))
+        path = max(states[-1].values(), key=lambda x: x[0])[1]
+        out = []
+        while path:
+            path, new = path
+            out.append(new)
+        return "".join(reversed(out))
 
 
 def repair_layout(text: str, heads: frozenset[str], channel: Channel | None = None) -> str:
@@ -334,13 +386,15 @@ def text_break(left: str, right: str, channel: Channel | None) -> bool:
 
 
 def repair_scans(passages: DataFrame, key: str = "passage_id", text: str = "text", with_text: bool = True, max_heads: int = MAX_HEADS) -> DataFrame:
-    """(key, traces, misread[, repaired]) of every passage that bears traces of scanning.
+    """(key, traces, misread[, repaired]) of every passage that bears traces of scanning; ``misread``: suspect places.
 
-    Up to ``max_heads`` running heads are broadcast; beyond that each passage gets its own by a join.
+    Three scans of the passages: running heads, n-grams, traces and suspects.  Passages with either are
+    written once; the confusions counted over them give the channel that decodes them.  Up to ``max_heads``
+    running heads are broadcast; beyond that each passage gets its own by a join.
     """
     source = passages.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
     spark = passages.sparkSession
-    known = running_heads(source)
+    known = cut_lineage(running_heads(source))
     if known.limit(max_heads + 1).count() <= max_heads:
         shared = frozenset(r["frame"] for r in known.collect())
         rows = source.withColumn("heads", F.lit(None).cast("array<string>"))
@@ -348,58 +402,69 @@ def repair_scans(passages: DataFrame, key: str = "passage_id", text: str = "text
         shared = frozenset()
         rows = _with_own_heads(source, known)
     heads = spark.sparkContext.broadcast(shared)
-    tables = spark.sparkContext.broadcast(gram_tables(source))
+    counted, meant = gram_tables(source)
+    tables = spark.sparkContext.broadcast(counted)
+    first_digit = next(i for i, r in enumerate(RULES) if r[0] == "0")
+    digit_rules = [i for i in range(first_digit, len(RULES)) if RULES[i][0] == "0"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         channel = Channel(tables.value)
         for b in batches:
             keys, texts, own, out = b["key"].tolist(), b["text"].tolist(), b["heads"].tolist(), []
-            for first, last, codes, offsets in blocks(texts, 500_000):
-                by_row: dict[int, dict[int, list[tuple[str, str]]]] = {}
-                for at, read, meant in channel.suspects(codes):
-                    rows = np.searchsorted(offsets, at, side="right") - 1
-                    for r, p in zip(rows.tolist(), (at - offsets[rows]).tolist()):
-                        by_row.setdefault(r, {}).setdefault(p, []).append((read, meant))
+            for first, last, codes, offsets in blocks(_framed(texts), 500_000):
+                sites: dict[int, list[tuple[int, int]]] = {}
+                for row, at, rule in channel.suspects(codes, offsets):
+                    for r, p in zip(row.tolist(), at.tolist()):
+                        sites.setdefault(r, []).append((p, rule))
                 for r in range(last - first):
                     t = texts[first + r]
                     if not t:
                         continue
-                    mine = heads.value if own[first + r] is None else frozenset(own[first + r])
-                    found = layout_traces(t, mine)
-                    options = by_row.get(r, {})
-                    if options:
-                        found.add("misread")
-                    if found:
-                        out.append((keys[first + r], sorted(found), len(options), *((_repair(t, options, mine, channel),) if with_text else ())))
+                    traces = layout_traces(t, heads.value if own[first + r] is None else frozenset(own[first + r]))
+                    mine = set(sites.get(r, ()))
+                    for m in _DIGIT_IN_WORD.finditer(t):
+                        for p in range(m.start(), m.end()):
+                            mine |= {(p, rule) for rule in digit_rules if t[p] == _DIGIT_OF[RULES[rule][1]]}
+                    if traces or mine:
+                        at = sorted(mine)
+                        out.append((keys[first + r], t, own[first + r], sorted(traces), [p for p, _ in at], [rule for _, rule in at]))
+            yield pd.DataFrame(out, columns=["key", "text", "heads", "traces", "at", "rule"])
+
+    marked = cut_lineage(rows.mapInPandas(mark, "key bigint, text string, heads array<string>, traces array<string>, at array<int>, rule array<int>"))
+    confused = {r["rule"]: r["n"] for r in marked.select(F.explode("rule").alias("rule")).groupBy("rule").agg(F.count("*").alias("n")).collect()}  # one row a rule
+    costs = [-math.log((confused.get(i, 0) + 1) / (n + confused.get(i, 0) + 2)) for i, n in enumerate(meant.tolist())]
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        channel = None
+        for b in batches:
+            out = []
+            for k, t, own, traces, at, rule in zip(*(b[c].tolist() for c in ("key", "text", "heads", "traces", "at", "rule"))):
+                found, new = list(traces), t
+                if len(at):
+                    channel = channel or Channel(tables.value, costs)
+                    new = channel.decode(t, list(zip(map(int, at), map(int, rule))))
+                    if new != t:
+                        found.append("misread")
+                if found:
+                    if with_text:
+                        channel = channel or Channel(tables.value, costs)
+                        mine = heads.value if own is None else frozenset(own)
+                        out.append((k, sorted(found), len(set(at)), repair_layout(new, mine, channel)))
+                    else:
+                        out.append((k, sorted(found), len(set(at))))
             yield pd.DataFrame(out, columns=[key, "traces", "misread", *(["repaired"] if with_text else [])]).astype({"misread": "int32"})
 
-    return rows.mapInPandas(run, f"{key} bigint, traces array<string>, misread int" + (", repaired string" if with_text else ""))
+    return marked.mapInPandas(decode, f"{key} bigint, traces array<string>, misread int" + (", repaired string" if with_text else ""))
 
 
 def _with_own_heads(source: DataFrame, known: DataFrame) -> DataFrame:
-    """``source`` with the running heads among each passage's own lines (a few a passage), found by a join on the line."""
+    """``source`` with the running heads among each passage's own short lines, found by a join on the line."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, f) for k, t in zip(b["key"].tolist(), b["text"].tolist()) if "\n" in t for f in line_frames(t)]
-            yield pd.DataFrame(rows, columns=["key", "frame"])
+            rows = {(k, _DIGITS.sub("0", s)) for k, t in zip(b["key"].tolist(), b["text"].tolist()) if "\n" in t for line in t.split("\n") if len(s := line.strip()) <= 70 and s}
+            yield pd.DataFrame(sorted(rows), columns=["key", "frame"])
 
     lines = source.mapInPandas(run, "key bigint, frame string").join(known.select("frame"), "frame", "left_semi")
     own = lines.groupBy("key").agg(F.collect_set("frame").alias("heads"))
     return source.join(own, "key", "left").withColumn("heads", F.coalesce("heads", F.array().cast("array<string>")))
-
-
-def _repair(text: str, options: dict[int, list[tuple[str, str]]], heads: frozenset[str], channel: Channel) -> str:
-    lines, start = [], 0
-    for line in text.split("\n"):
-        own = {p - start: o for p, o in options.items() if start <= p < start + len(line)}
-        single = {p: [m for r, m in o if len(r) == len(m) == 1] for p, o in own.items() if len(o[0][0]) == 1}
-        if single:
-            line = channel.decode(line, single)
-        for p, o in sorted(own.items(), reverse=True):
-            for r, m in o:
-                if len(r) > 1 and line[p : p + len(r)] == r:
-                    line = line[:p] + m + line[p + len(r) :]
-        start += len(text[start:].split("\n", 1)[0]) + 1
-        lines.append(line)
-    return repair_layout("\n".join(lines), heads, channel)

@@ -234,7 +234,7 @@ def test_layout_traces_and_their_opposites():
     assert "head" in t("วารสารครูศึกษา ปีที่ ๒๐ ฉบับที่ ๔\n" + THAI)
     assert "cut" in t("The firewall at the College filters pack-\nets at 34.9 Gbps.")
     assert "lines" in t("The session starts at nine and\nends by four with the complainant.")
-    assert "misread" in t("The session disp1ayed the noticc")
+    assert scan_noise._DIGIT_IN_WORD.search("The session disp1ayed the noticc")
     for clean in (THAI, ENGLISH, "Three items\n- store bridges\n- end checks\n- a port", "บทกลอนประจำค่าย\nรักวินัยใจมั่น\nแบ่งปันกันทุกเช้า\nถามตอบกับครูเรา\nไม่เหงาไม่ล้าใจ", "1 | minutes | 41.2 | 2426\n2 | plan | 3.1 | 12", "1.8 Methods\n" + ENGLISH, "see page 42-43.", ENGLISH + "\n\n" + ENGLISH):
         assert t(clean) == set(), clean
 
@@ -523,3 +523,30 @@ def test_consensus_beyond_the_broadcast_bound(spark):
         assert np.allclose(x[i].posterior, y[i].posterior, atol=0.02)
     p, q = ({(r.annotator, r.truth, r.code): r.p for r in df.collect()} for df in (ca, cb))
     assert p.keys() == q.keys() and all(abs(p[k] - q[k]) < 0.02 for k in p)
+
+
+def test_the_lattice_is_decoded_as_by_trying_every_path():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    tables = rng.integers(0, 400, (2, 1 << scan_noise.BITS)).astype(np.float32)
+    channel = scan_noise.Channel(tables, [1.0 + 0.1 * i for i in range(len(scan_noise.RULES))])
+    rule = {(r, m): i for i, (r, m, _) in enumerate(scan_noise.RULES)}
+    text = "the modern cell rnade of clay keeps its c0ld"
+    sites = [(text.index("c", 8), rule["c", "e"]), (text.index("rna"), rule["rn", "m"]), (text.index("cl"), rule["cl", "d"]), (text.index("0"), rule["0", "o"])]
+
+    def worth(chosen):
+        s, tail, i = 0.0, "", 0
+        swap = {p: scan_noise.RULES[r] + (channel.costs[r],) for p, r in chosen}
+        out = []
+        while i < len(text):
+            new, length, cost = (swap[i][1], len(swap[i][0]), swap[i][3]) if i in swap else (text[i], 1, 0.0)
+            s -= cost
+            for c in new:
+                s, tail = s + channel._probability(tail, c), (tail + c)[-4:]
+            out.append(new)
+            i += length
+        return s, "".join(out)
+
+    paths = [worth(c) for n in range(len(sites) + 1) for c in itertools.combinations(sites, n)]
+    assert channel.decode(text, sites) == max(paths)[1]
