@@ -61,7 +61,7 @@ def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     wanted = read(spark, sf, "sentence_check").select("passage_id").distinct()
     passages = read(spark, sf, "passages").select("passage_id", "text").join(broadcast_if_small(wanted), "passage_id", "left_semi")
-    return sentences.sentence_units(passages).select("passage_id", "end_pos")
+    return sentences.sentence_units(passages, corpus=_texts(spark, sf, "passages", "text")).select("passage_id", "end_pos")
 
 
 def p3_units(spark: SparkSession, sf: str) -> DataFrame:
