@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamnan.functions.cluster import columns, cut_lineage
-from tamnan.llm.sentences import NEVER, sentence_ends
+from tamnan.llm.sentences import NEVER, Openers, sentence_ends
 
 #: log2 of the bits of the bitmap, the suffix lengths (longest first), the least evidence, the share of ends below which a text is cut.
 BITS = 22
@@ -311,17 +311,17 @@ def breaks_off_a_name(question: str | None, answer: str) -> bool:
     return False
 
 
-def end_counts(answers: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def end_counts(answers: list[str], wanted: np.ndarray | None = None, openers: Openers | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, whether a sentence ends there) of all n-grams inside the answers but for their very ends.
 
-    ``wanted``: bitmap of the hashes that matter.
+    ``wanted``: bitmap of the hashes that matter; ``openers``: what begins Thai sentences.
     """
     masked = [_masked(a.strip()) for a in answers]
     grams = Grams(masked)
     final = np.zeros(int(grams.offsets[-1]) + 1, dtype=bool)
     limit = np.zeros(len(masked), dtype=np.int64)  # where the last n-gram may end
     for i, (m, first) in enumerate(zip(masked, grams.offsets.tolist())):
-        ends, core = sentence_ends(m), len(_core(m))
+        ends, core = sentence_ends(m, openers), len(_core(m))
         limit[i] = first + core - (core == len(m))
         final[[first + e for e in ends[:-1]]] = True
         if core < len(m):
@@ -344,10 +344,11 @@ def suffix_evidence(pairs: DataFrame, tails: DataFrame) -> DataFrame:
     bits = tails.select(F.shiftrightunsigned("h", 64 - BITS).cast("int").alias("i")).distinct()  # at most 2**BITS rows
     bitmap = np.zeros(1 << BITS, dtype=bool)
     bitmap[columns(bits)["i"].astype(np.int64)] = True
+    openers = pairs.sparkSession.sparkContext.broadcast(Openers.learnt(pairs.select(F.col("a").alias("text"))))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h, e = end_counts([t for t in b["a"].tolist() if t and _THAI_RUN.search(t)], bitmap)
+            h, e = end_counts([t for t in b["a"].tolist() if t and _THAI_RUN.search(t)], bitmap, openers.value)
             u, place = np.unique(h, return_inverse=True)
             total, ended = np.bincount(place, minlength=len(u)), np.bincount(place, weights=e, minlength=len(u)).astype(np.int64)
             yield pd.DataFrame({"h": u.astype(np.int64), "goes": total - ended, "ends": ended})
