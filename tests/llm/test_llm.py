@@ -445,7 +445,7 @@ def test_a_shared_frame_with_varying_placeholders_is_a_slot(spark):
     rows = [(i, f"This certificate has been awarded by the whole committee to {{{{{v}}}}} for outstanding work {'.' * i}") for i, v in enumerate(["name", "title", "author"])]
     rows = [(i, t.split(" .")[0] + "\n" + str(i) + " unique") for i, t in rows] + [(9, "This one certificate was given by nobody in particular to {{name}} in the year of the rat")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {r.doc_id for r in residue.find_residue(docs).collect()} == {0, 1, 2}
+    assert {r.doc_id for r in residue.find_residue(docs).collect()} == {0, 1, 2, 9}  # 9: nothing aligns with it, but its placeholder is unfilled and it isn't about placeholders
 
 
 # --- queries
@@ -550,3 +550,20 @@ def test_the_lattice_is_decoded_as_by_trying_every_path():
 
     paths = [worth(c) for n in range(len(sites) + 1) for c in itertools.combinations(sites, n)]
     assert channel.decode(text, sites) == max(paths)[1]
+
+
+def test_long_quotations_lists_and_abbreviations_of_any_length():
+    inner = "This is short. " * 170
+    assert len(sentences.sentence_ends(f"He said “{inner}” and left. She stayed.")) == 2
+    assert len(sentences.sentence_ends("The panel asks for (1) a copy. It is kept. (2) a seal; and (3) a stamp. The officer agrees.")) == 2
+    assert len(sentences.sentence_ends("(1) First it rains. (2) Then it snows.")) == 2
+    assert len(sentences.sentence_ends("They need the following:\n1. a copy;\n2. a seal;\n3. a stamp. They wait.")) == 2
+    assert sentences._abbreviation("see z. B", 0, 8) == "z. b" and sentences._abbreviation("xyzetc", 0, 6) == ""
+
+
+def test_thai_openers_are_learnt(spark):
+    rows = [f"แม่ค้าขายผลไม้ {i} กิโลกรัม เพื่อช่วยชุมชน แม่ค้าปิดร้าน {i} โมง" for i in range(60)]
+    opens = sentences.Openers.learnt(passages(spark, list(enumerate(rows))))
+    text = "เด็กซื้อขนม แม่ค้าขายผลไม้ เพื่อช่วยชุมชน"
+    assert [text[:e] for e in sentences.sentence_ends(text, opens)] == ["เด็กซื้อขนม", text]
+    assert sentences.Openers.learnt(passages(spark, [])).opens("แม่ค้า", 0) is None
