@@ -14,7 +14,6 @@ any boundary is cut at the landmark, never before a combining mark where that ca
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -98,23 +97,23 @@ def split_oversized(items: DataFrame, limits: DataFrame, key: str = "passage_id"
     """(key, piece, n_pieces, start_pos, end_pos, oversized, piece_text) for every item.
 
     ``limits``: scope, max_size, overlap_size (several rows of one scope: the smallest limit holds).
-    Items within their limit don't leave the JVM; the others are cut whole, each in one call.
+    Texts within their limit don't leave the JVM; the others are cut whole, each in one call.
     """
     least = limits.where("size_unit = 'characters' AND max_size > 0").groupBy("scope").agg(F.min(F.struct("max_size", F.coalesce("overlap_size", F.lit(0)).alias("overlap_size"))).alias("l"))
     least = broadcast_if_small(least.select(F.col("scope").alias("limit_scope"), F.col("l.max_size").alias("max_size"), F.col("l.overlap_size").alias("overlap_size")))
     rows = items.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(scope).alias("scope"), F.col(heading).alias("heading")).where(F.col("text").isNotNull() & (F.col("text") != ""))
     rows = rows.join(least, F.col("scope") == F.col("limit_scope"), "left")
     big = F.coalesce(F.length("text") > F.col("max_size"), F.lit(False))
-    whole = rows.where(~big).select("key", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start_pos"), F.length("text").alias("end_pos"), F.lit(False).alias("oversized"), F.col("text").alias("piece_text"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, t, h, m, o in zip(b["key"].tolist(), b["text"].tolist(), b["heading"].tolist(), b["max_size"].tolist(), b["overlap_size"].tolist()):
-                parts = pieces(t, int(m), int(o), (h,) if h else ())
-                out += [(k, i, len(parts), s, e, True, t[s:e]) for i, (s, e) in enumerate(parts)]
-            yield pd.DataFrame(out, columns=["key", "piece", "n_pieces", "start_pos", "end_pos", "oversized", "piece_text"]).astype({"piece": "int32", "n_pieces": "int32", "start_pos": "int32", "end_pos": "int32"})
-
-    kind = rows.schema["key"].dataType.simpleString()
-    parts = rows.where(big).select("key", "text", "heading", "max_size", "overlap_size").mapInPandas(cut, f"key {kind}, piece int, n_pieces int, start_pos int, end_pos int, oversized boolean, piece_text string")
-    return whole.unionByName(parts).withColumnRenamed("key", key)
+
+    @F.pandas_udf("array<struct<s:int,e:int,t:string>>")
+    def cut(texts: pd.Series, headings: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Series:
+        def one(t, h, m, o):
+            return None if t is None else [(s, e, t[s:e]) for s, e in pieces(t, int(m), int(o), (h,) if h else ())]
+
+        return pd.Series([one(*x) for x in zip(texts.tolist(), headings.tolist(), sizes.tolist(), overlaps.tolist())], dtype=object)
+
+    # one scan: texts within their limit reach the worker as nulls
+    parts = rows.withColumn("parts", cut(F.when(big, F.col("text")), F.when(big, F.col("heading")), "max_size", "overlap_size"))
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.length("text").alias("e"), F.col("text").alias("t")))
+    pieced = parts.select("key", big.alias("oversized"), F.coalesce("parts", whole).alias("parts")).select("key", "oversized", F.size("parts").alias("n_pieces"), F.posexplode("parts").alias("piece", "p"))
+    return pieced.select(F.col("key").alias(key), "piece", "n_pieces", F.col("p.s").alias("start_pos"), F.col("p.e").alias("end_pos"), "oversized", F.col("p.t").alias("piece_text"))
