@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from tamnan.functions.charblocks import blocks, hash_grams
 
-#: Letters of an n-gram; edits a stretch may have for each matching letter; test texts of one broadcast block.
+#: Letters of an n-gram; edits a stretch may have for each matching letter; test texts and letters of one broadcast block.
 N = 6
 EDITS = 0.1
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_LETTERS = 20_000, 20_000_000
 #: Cells of the table (document, n-gram) that is held at a time.
 CELLS = 4_000_000
 
@@ -55,6 +55,11 @@ def fold(text: str) -> np.ndarray:
     return f[f > 0]
 
 
+def letter_points(text: str) -> np.ndarray:
+    """The code point of ``text`` at which each of its folded letters stands."""
+    return np.flatnonzero(fold_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)])
+
+
 def _scan(texts: list, grams: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row of each hit, letter position of the hit in its row, index into the sorted ``grams``)."""
     bits = np.zeros(1 << 22, dtype=bool)
@@ -194,14 +199,14 @@ def _dense_enough(three: np.ndarray, share: float) -> bool:
     return bool((lead - lowest[np.maximum(x, 0)] >= -1e-9)[x >= 0].any())
 
 
-def best_stretch(item: np.ndarray, doc: np.ndarray, least: int, most: int) -> tuple[float, int]:
-    """(share of ``item`` carried, in order, by one stretch of ``doc``, letter of ``doc`` that faces the item's first); the latter is about ``least`` to ``most``."""
+def best_stretch(item: np.ndarray, doc: np.ndarray, least: int, most: int) -> tuple[float, int, int, int]:
+    """(share of ``item`` carried, in order, by one stretch of ``doc``, letter of ``doc`` that faces the item's first, first and last letter + 1 of the stretch); the second is about ``least`` to ``most``."""
     slack = max(30, len(item) // 5)
     low = max(0, least - slack)
     a = "".join(map(chr, item))
     b = "".join(map(chr, doc[low : max(0, most + len(item) + slack)]))
     matched = [(m.a, m.b, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= 3]
-    best, start = 0, 0
+    best, start, first, last = 0, 0, 0, 0
     run: list[tuple[int, int, int]] = []
     for m in matched:
         if run:
@@ -213,8 +218,8 @@ def best_stretch(item: np.ndarray, doc: np.ndarray, least: int, most: int) -> tu
         for k in range(len(run)):
             covered = sum(x[2] for x in run[k:]) * _dense(run[k:])
             if covered > best:
-                best, start = covered, low + run[k][1] - run[k][0]
-    return best / len(item), start
+                best, start, first, last = covered, low + run[k][1] - run[k][0], low + run[k][1], low + m[1] + m[2]
+    return best / len(item), start, first, last
 
 
 #: Letters that may be changed, added or missing between two matching parts, and the part of a stretch that must match.
@@ -228,16 +233,18 @@ def _dense(run: list[tuple[int, int, int]]) -> bool:
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_texts: tuple[str, ...] = ("question", "evidence"), share: float = 0.5) -> DataFrame:
-    """(key, item_key, side, start, covered): documents that carry at least ``share`` of a text of an item.
+    """(key, item_key, side, start, covered, span_start, span_end): documents that carry at least ``share`` of a text of an item.
 
-    ``start`` is the letter position (in folded letters) where the item's text would begin.
+    ``start`` is the letter position (in folded letters) where the item's text would begin; the span is the
+    leaking stretch in code points of the document's text.
     """
     docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
     spark = documents.sparkSession
-    schema = f"{key} bigint, {item_key} bigint, side string, start int, covered double"
+    schema = f"{key} bigint, {item_key} bigint, side string, start int, covered double, span_start int, span_end int"
     found = None
     rows = items.select(F.col(item_key).cast("bigint").alias("item"), *item_texts).where(F.col("item").isNotNull())
-    n_blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
+    size = rows.agg(F.count("*").alias("n"), F.sum(sum(F.coalesce(F.length(t), F.lit(0)) for t in item_texts)).alias("letters")).first()
+    n_blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-(size["letters"] or 0) // BLOCK_LETTERS))
     for block in range(n_blocks):
         part = rows if n_blocks == 1 else rows.where(F.pmod(F.hash("item"), F.lit(n_blocks)) == block)
         names, sides = [], []
@@ -256,7 +263,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             for batch in batches:
                 texts, keys, out = batch["text"].tolist(), batch["key"].tolist(), []
                 for a, row, pos, i in _scan(texts, known.grams):
-                    best: dict[tuple[int, int], tuple[float, int]] = {}
+                    best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
                     last, doc = -1, np.zeros(0, dtype=np.uint32)
                     for found in candidates(known, row, pos, i):
                         for r, side, least, most in zip(*(x.tolist() for x in found)):
@@ -264,11 +271,13 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                                 last, doc = r, fold(texts[a + r])
                             if not may_carry(known.sides[side], doc, least, most, share):
                                 continue
-                            covered, start = best_stretch(known.sides[side], doc, least, most)
-                            if covered >= share and covered > best.get((r, side), (0.0, 0))[0]:
-                                best[r, side] = (covered, start)
-                    out += [(keys[a + r], *who[side], start, covered) for (r, side), (covered, start) in best.items()]
-                yield pd.DataFrame(out, columns=[key, item_key, "side", "start", "covered"]).astype({"start": "int32", "covered": "float64"})
+                            covered, *where = best_stretch(known.sides[side], doc, least, most)
+                            if covered >= share and covered > best.get((r, side), (0.0,))[0]:
+                                best[r, side] = (covered, *where)
+                    for (r, side), (covered, start, first, end) in best.items():
+                        points = letter_points(texts[a + r])
+                        out.append((keys[a + r], *who[side], start, covered, int(points[first]), int(points[end - 1]) + 1))
+                yield pd.DataFrame(out, columns=[key, item_key, "side", "start", "covered", "span_start", "span_end"]).astype({"start": "int32", "covered": "float64", "span_start": "int32", "span_end": "int32"})
 
         hits = docs.mapInPandas(verify, schema)
         found = hits if found is None else found.unionByName(hits)
@@ -283,3 +292,23 @@ def leaked_items(hits: DataFrame, key: str = "doc_id", item_key: str = "item_id"
 def clean_documents(documents: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents that leak nothing."""
     return documents.join(hits.select(key).distinct(), key, "left_anti")
+
+
+def without_spans(documents: DataFrame, hits: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` with the leaking stretches cut out of ``text``; a document's spans are at most two a test item.
+
+    Documents without a hit stay as they are; null keys too.
+    """
+    spans = hits.groupBy(F.col(key).alias("_of")).agg(F.sort_array(F.collect_set(F.struct("span_start", "span_end"))).alias("_spans"))
+    joined = documents.join(spans, F.col(key) == F.col("_of"), "left")
+    # what lies between the ends reached so far and the next span is kept
+    kept = F.aggregate(
+        "_spans",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda s, x: F.struct(
+            F.greatest(s["at"], x["span_end"]).alias("at"),
+            F.concat(s["out"], F.when(x["span_start"] > s["at"], F.substring(text, s["at"] + 1, x["span_start"] - s["at"])).otherwise("")).alias("out"),
+        ),
+        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
+    )
+    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(kept)).select(*documents.columns)
