@@ -96,6 +96,14 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return confusables.lookalike_pairs(_lookalikes(spark, sf))
 
 
+def p7_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return confusables.lookalike_classes(_lookalikes(spark, sf))
+
+
+def p7_normal_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return confusables.normalised(_texts(spark, sf, "passages", "passage_id", "text"), ["text"]).select("passage_id", "text_norm")
+
+
 def p7_normal_docs(spark: SparkSession, sf: str) -> DataFrame:
     return confusables.normalised(read(spark, sf, "docs").select("doc_no", "short"), ["short"])
 
@@ -116,11 +124,21 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(hits).select("doc_id", "item_id")
 
 
+def p9_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read(spark, sf, "documents").select("doc_id", "text")
+    return leakage.without_spans(documents, leakage.leaks(spread(documents), read(spark, sf, "holdout_questions")))
+
+
+def p10_clean(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _texts(spark, sf, "documents", "doc_id", "text")
+    return residue.without_residue(documents, residue.find_residue(documents)).select("doc_id")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find_residue(_texts(spark, sf, "documents", "doc_id", "text")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p1_agreement, p2_found, p2_restored, p3_found, p3_units, p4_found, p4_pieces, p5_found, p5_repaired, p6_found, p7_found, p7_normal_docs, p8_containers, p8_fill, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p1_agreement, p2_found, p2_restored, p3_found, p3_units, p4_found, p4_pieces, p5_found, p5_repaired, p6_found, p7_found, p7_classes, p7_normal_docs, p7_normal_passages, p8_containers, p8_fill, p9_found, p9_cleaned, p10_found, p10_clean)}
 
 _CODING = """
 WITH q AS (SELECT id, lower(regexp_replace(translate(id, '０１２３４５６７８９ａｂＵ', '0123456789abU'), '[^0-9A-Za-z]', '', 'g')) AS k FROM questions),

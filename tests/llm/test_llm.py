@@ -567,3 +567,20 @@ def test_thai_openers_are_learnt(spark):
     text = "เด็กซื้อขนม แม่ค้าขายผลไม้ เพื่อช่วยชุมชน"
     assert [text[:e] for e in sentences.sentence_ends(text, opens)] == ["เด็กซื้อขนม", text]
     assert sentences.Openers.learnt(passages(spark, [])).opens("แม่ค้า", 0) is None
+
+
+def test_prototypes_of_other_scripts_and_classes(spark):
+    table = confusables.prototypes(spark)
+    assert {confusables.skeleton(x, table) for x in ("loop", "lօօp", "lⲟⲟp", "𝐥𝗈𝗈𝗉")} == {"loop"}
+    assert confusables.skeleton("α๐²", table) == "α๐²"
+    df = spark.createDataFrame([(1, "co"), (2, "сo"), (3, "co"), (4, "x"), (5, None)], "doc_no bigint, short string")
+    groups = confusables.lookalike_groups([(df, "doc_no", "short", "f")])
+    assert {(r.id, r.class_id, r.links) for r in confusables.lookalike_classes(groups).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+
+
+def test_leaking_spans_are_cut_out(spark):
+    item = "Which committee signs the seventh amendment of the cabling plan, and when does it take effect in schools?"
+    docs = spark.createDataFrame([(1, f"Before it. {item.upper()} After it."), (2, "Nothing here."), (3, None), (None, "x")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item, None)], "item_id bigint, question string, evidence string")
+    got = {r.doc_id: r.text for r in leakage.without_spans(docs, leakage.leaks(docs, items)).collect()}
+    assert got == {1: "Before it. ? After it.", 2: "Nothing here.", 3: None, None: "x"}
