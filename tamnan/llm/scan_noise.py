@@ -34,6 +34,8 @@ from tamnan.functions.cluster import columns, cut_lineage
 BITS = 22
 MIN_COUNT, RATIO = 24, 40.0
 HEAD_PASSAGES = 5
+#: What it costs to take a digit within a Latin word for what was meant.
+DIGIT_COST = 6.0
 #: Running heads up to which all are broadcast.
 MAX_HEADS = 200_000
 
@@ -321,7 +323,8 @@ class Channel:
         states[0][text[max(0, first - 4) : first]] = (0.0, None)
         for i in range(first, last):
             for tail, (score, path) in states[i - first].items():
-                for new, length, cost in ((text[i], 1, 0.0), *edges.get(i, ())):
+                digit = DIGIT_COST if i in edges and text[i].isdigit() else 0.0
+                for new, length, cost in ((text[i], 1, digit), *edges.get(i, ())):
                     s, t = score - cost, tail
                     for c in new:
                         s, t = s + self._probability(t, c), (t + c)[-4:]

@@ -540,7 +540,7 @@ def test_the_lattice_is_decoded_as_by_trying_every_path():
         swap = {p: scan_noise.RULES[r] + (channel.costs[r],) for p, r in chosen}
         out = []
         while i < len(text):
-            new, length, cost = (swap[i][1], len(swap[i][0]), swap[i][3]) if i in swap else (text[i], 1, 0.0)
+            new, length, cost = (swap[i][1], len(swap[i][0]), swap[i][3]) if i in swap else (text[i], 1, scan_noise.DIGIT_COST if text[i] == "0" else 0.0)
             s -= cost
             for c in new:
                 s, tail = s + channel._probability(tail, c), (tail + c)[-4:]
