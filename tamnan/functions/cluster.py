@@ -13,12 +13,19 @@ BROADCAST_ROWS = 100_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's setting, or a local one where it is unset (tests)."""
+    """The shared folder for checkpoints: the session's setting; one of this machine only where the session is local (tests).
+
+    On a cluster without a shared folder this raises: executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tamnan-checkpoints")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        path = os.path.join(tempfile.gettempdir(), "tamnan-checkpoints")
     sc.setCheckpointDir(path)
     return path
 

@@ -5,12 +5,15 @@ Queries come in blocks of bounded size, so their terms and vectors are broadcast
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamnan.functions.cluster import BROADCAST_ROWS
+from tamnan.functions.cluster import broadcast_if_small, cut_lineage
 from tamnan.operators.text import tokens
 
 
@@ -76,24 +79,49 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("n"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, p: Params = P) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: postings sorted by term, terms with their idf, and the corpus's size."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n_docs: int
+    mean_length: float
+
+    @staticmethod
+    def build(docs: DataFrame, path: str, p: Params = P) -> Index:
+        """Write the index of ``docs`` (doc_id, text) under ``path``, a folder all executors share, and open it."""
+        spark = docs.sparkSession
+        n, length = corpus_size(docs)
+        postings(docs).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        df = cut_lineage(stored.groupBy("term").agg(F.count("*").alias("df")))
+        terms(df, n, mean_idf(df, n), p).sort("term").write.mode("overwrite").parquet(f"{path}/terms")
+        spark.createDataFrame([(n, length)], "n_docs bigint, mean_length double").write.mode("overwrite").parquet(f"{path}/size")
+        return Index.open(spark, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> Index:
+        size = spark.read.parquet(f"{path}/size").first()
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), size["n_docs"], size["mean_length"])
+
+
+#: Query terms up to which the stored postings are read through a pushed filter.
+PUSHED_TERMS = 2_000
+
+
+def bm25(queries: DataFrame, index: Index, p: Params = P) -> DataFrame:
     """(qid, doc_id, score) of all documents that share a term with a query.
 
-    Tokens are held against the broadcast query terms before they are counted, so only matching
-    postings are shuffled; document frequencies of all terms enter as one mean.
+    The block's terms reach the scan of the postings, which are sorted by term, as a filter, so only row groups
+    that hold them are read; beyond ``PUSHED_TERMS`` they are joined, broadcast only while they are few.
     """
-    n, avgdl = corpus_size(docs)
-    df = document_frequency(docs)
     wanted = query_terms(queries)
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    small = F.broadcast if few else (lambda x: x)
-    vocabulary = small(wanted.select("term").distinct())
-    cut = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    index = cut.join(vocabulary, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    own = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    weights = terms(own, n, mean_idf(df, n), p).select("term", "idf").join(wanted, "term")  # as many rows as the block has terms
-    hits = index.join(small(weights), "term")
-    norm = p.k1 * (1 - p.b + p.b * F.col("dl") / avgdl)
+    names = [r["term"] for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    cut = (lambda df: df.where(F.col("term").isin(names))) if len(names) <= PUSHED_TERMS else (lambda df: df)
+    weights = broadcast_if_small(cut(index.terms).select("term", "idf").join(wanted, "term"))
+    hits = cut(index.postings).join(weights, "term")
+    norm = p.k1 * (1 - p.b + p.b * F.col("dl") / index.mean_length)
     part = F.col("n") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
@@ -103,17 +131,65 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Bytes of query vectors that travel to the vectors at a time.
+BLOCK_BYTES = 64 << 20
+
+
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """``queries`` (qid, v) in blocks of about ``BLOCK_BYTES``."""
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()
+    n = max(1, -(-size["n"] * (size["dims"] or 1) * 8 // BLOCK_BYTES))
+    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
 def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, doc_id, score): a bounded block of query vectors (qid, v) against all ``vectors`` (doc_id, embedding).
+    """(qid, doc_id, score): query vectors (qid, v) against all ``vectors`` (doc_id, embedding), to be reduced at once.
+
+    Each block of queries, bounded in bytes, travels to the vectors as one array, so no vector is shuffled or repeated.
+    """
+    found = None
+    for part in _blocks(queries):
+        block = part.groupBy().agg(F.collect_list(F.struct("qid", "v")).alias("block")).withColumn("one", F.lit(1))
+        scored = vectors.withColumn("one", F.lit(1)).join(F.broadcast(block), "one")
+        hits = scored.select("doc_id", "embedding", F.explode("block").alias("q")).select("q.qid", "doc_id", dot(F.col("embedding"), F.col("q.v")).alias("score"))
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def dense_top(queries: DataFrame, vectors: DataFrame, top: int, same: bool = True) -> DataFrame:
+    """(qid, doc_id, score) that hold the ``top`` of each query's ranking (and more, one list for each batch of vectors).
 
-    The block travels to the vectors as one array, so no vector is shuffled or repeated; larger blocks
-    must be taken in parts.
+    A matrix product for each batch of vectors and block of queries; a batch passes on its own best only.  Ties go to the
+    smaller id, as in ``ranked``; ``same`` is whether a document may be found for the query of its own id.
     """
-    if queries.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} query vectors in one block")
-    block = queries.groupBy().agg(F.collect_list(F.struct("qid", "v")).alias("block")).withColumn("one", F.lit(1))
-    scored = vectors.withColumn("one", F.lit(1)).join(F.broadcast(block), "one")
-    return scored.select("doc_id", "embedding", F.explode("block").alias("q")).select("q.qid", "doc_id", dot(F.col("embedding"), F.col("q.v")).alias("score"))
+    found = None
+    for part in _blocks(queries):
+        rows = part.where("v IS NOT NULL").toArrow()  # at most about BLOCK_BYTES
+        if not rows.num_rows:
+            continue
+        ids, matrix = np.array(rows["qid"].to_pylist(), dtype=np.int64), np.array(rows["v"].to_pylist(), dtype=np.float64)
+        block = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def best(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+            qids, m = block.value
+            for b in batches:
+                b = b[b["embedding"].notna()].sort_values("doc_id", kind="stable")
+                if not len(b):
+                    continue
+                docs = b["doc_id"].to_numpy()
+                score = np.stack(b["embedding"].tolist()).astype(np.float64) @ m.T
+                key = np.round(score, 9)
+                if not same:
+                    key[docs[:, None] == qids[None, :]] = -np.inf
+                order = np.argsort(-key, axis=0, kind="stable")[:top]
+                q = np.broadcast_to(np.arange(len(qids)), order.shape).reshape(-1)
+                d = order.reshape(-1)
+                keep = np.isfinite(key[d, q])
+                yield pd.DataFrame({"qid": qids[q[keep]], "doc_id": docs[d[keep]], "score": score[d[keep], q[keep]]})
+
+        hits = vectors.select(F.col("doc_id").cast("bigint").alias("doc_id"), "embedding").mapInPandas(best, "qid bigint, doc_id bigint, score double")
+        found = hits if found is None else found.unionByName(hits)
+    return found if found is not None else vectors.sparkSession.createDataFrame([], "qid bigint, doc_id bigint, score double")
 
 
 def ranked(scores: DataFrame, top: int, name: str) -> DataFrame:
@@ -144,7 +220,7 @@ def seated(fused: DataFrame, p: Params = P, score: str = "rrf") -> DataFrame:
 
 
 def superseded_copies(docs: DataFrame) -> DataFrame:
-    """doc_ids whose text also stands under a smaller id; compared by hash, then by text length."""
+    """doc_ids whose text, by its SHA-256, also stands under a smaller id."""
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("h"))
     first = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return keyed.join(first, "h").where("doc_id > first").select("doc_id")

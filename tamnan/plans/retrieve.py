@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamnan.catalog import register
-from tamnan.functions.cluster import broadcast_if_small, read, spread
+from tamnan.functions.cluster import broadcast_if_small, ensure_checkpoint_dir, read, spread
 from tamnan.operators import retrieval as R
 from tamnan.operators import text as T
 
@@ -15,6 +17,18 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(read(spark, sf, "documents").select("doc_id", "text"))
 
 
+_INDEXES: dict[tuple, R.Index] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> R.Index:
+    """The stored index of the documents, built once a session and set of files, in the shared folder."""
+    docs = read(spark, sf, "documents")
+    key = (spark.sparkContext.applicationId, sf, *docs.inputFiles())
+    if key not in _INDEXES:
+        _INDEXES[key] = R.Index.build(_docs(spark, sf), f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "holdout_questions").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.col("question").alias("text"))
 
@@ -75,33 +89,30 @@ def doc_freq(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf, round(greatest(idf, 0), 6) AS rarity FROM idf")
 def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf)
-    df, n = R.document_frequency(docs), R.corpus_size(docs)[0]
-    t = R.terms(df, n, R.mean_idf(df, n))
-    return t.select("term", "df", F.round("idf", 6).alias("idf"), F.round(F.greatest("idf", F.lit(0.0)), 6).alias("rarity"))
+    return _index(spark, sf).terms.select("term", "df", F.round("idf", 6).alias("idf"), F.round(F.greatest("idf", F.lit(0.0)), 6).alias("rarity"))
 
 
 @register(f"WITH {_BM25} SELECT qid, doc_id, round(score, 6) AS score FROM bm")
 def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25(_queries(spark, sf), _docs(spark, sf)).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return R.bm25(_queries(spark, sf), _index(spark, sf)).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @register(f"WITH {_BM25.replace('question AS text', chr(39) + ' ' + chr(39) + ' || question || ' + chr(39) + ' ' + chr(39) + ' || question AS text')} SELECT qid, doc_id, round(score, 6) AS score FROM bm")
 def bm25_repeat_token(spark: SparkSession, sf: str) -> DataFrame:
     """The question twice: repeated query words count again."""
     twice = _queries(spark, sf).select("qid", F.concat(F.lit(" "), "text", F.lit(" "), "text").alias("text"))
-    return R.bm25(twice, _docs(spark, sf)).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return R.bm25(twice, _index(spark, sf)).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @register(f"WITH {_BM25} SELECT qid, doc_id, lexical_rank::INTEGER AS lexical_rank, round(lexical_score, 6) AS lexical_score FROM lex")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    s = R.bm25(_queries(spark, sf), _docs(spark, sf)).where("score > 0")
+    s = R.bm25(_queries(spark, sf), _index(spark, sf)).where("score > 0")
     return R.ranked(s, R.P.top_lexical, "lexical").select("qid", "doc_id", "lexical_rank", F.round("lexical_score", 6).alias("lexical_score"))
 
 
 @register(f"WITH {_DENSE} SELECT qid, doc_id, dense_rank::INTEGER AS dense_rank, round(dense_score, 6) AS dense_score FROM den")
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    s = R.dense(_query_vectors(spark, sf), _vectors(spark, sf))
+    s = R.dense_top(_query_vectors(spark, sf), _vectors(spark, sf), R.P.top_dense)
     return R.ranked(s, R.P.top_dense, "dense").select("qid", "doc_id", "dense_rank", F.round("dense_score", 6).alias("dense_score"))
 
 
@@ -114,7 +125,7 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_label_vote(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
-    s = R.dense(q, e.select(F.col("vec_id").alias("doc_id"), "embedding")).where("doc_id != qid")
+    s = R.dense_top(q, e.select(F.col("vec_id").alias("doc_id"), "embedding"), 10, same=False)
     near = R.ranked(s, 10, "n").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
     votes = near.groupBy("qid", "label").agg(F.count("*").alias("votes"))
     w = Window.partitionBy("qid").orderBy(F.desc("votes"), "label")
@@ -139,9 +150,8 @@ def embedding_parity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf: str, p: R.Params = R.P) -> DataFrame:
-    docs = _docs(spark, sf)
-    d = R.ranked(R.dense(_query_vectors(spark, sf), _vectors(spark, sf)), p.top_dense, "dense")
-    lex = R.ranked(R.bm25(_queries(spark, sf), docs, p).where("score > 0"), p.top_lexical, "lexical")
+    d = R.ranked(R.dense_top(_query_vectors(spark, sf), _vectors(spark, sf), p.top_dense), p.top_dense, "dense")
+    lex = R.ranked(R.bm25(_queries(spark, sf), _index(spark, sf), p).where("score > 0"), p.top_lexical, "lexical")
     return R.fuse(d, lex, p)
 
 
@@ -196,13 +206,16 @@ def gate(spark: SparkSession, sf: str) -> DataFrame:
     return R.gate(_penalised(spark, sf)).select("qid", F.round("max_dense", 6).alias("max_dense"), "in_scope")
 
 
-_GOLD = "gold AS (SELECT h.item_id AS qid, d.doc_id FROM holdout_questions h JOIN documents d ON contains(d.text, h.question) WHERE h.item_id % 20 = 0)"
+_GOLD = f"""ev AS (SELECT item_id AS qid, list_distinct({_TOK.format('evidence')}) AS t FROM holdout_questions WHERE item_id % 20 = 0),
+gold AS (SELECT qid, doc_id FROM (SELECT qid, len(t) AS need, unnest(t) AS term FROM ev) JOIN tf USING (term) GROUP BY qid, doc_id, need HAVING count(*) >= 0.5 * need)"""
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a question of the block verbatim; the block (a bounded query set) is broadcast."""
-    q = broadcast_if_small(_queries(spark, sf).withColumnRenamed("text", "question"))
-    return _docs(spark, sf).join(q, F.contains(F.col("text"), F.col("question"))).select("qid", "doc_id")
+    """Documents that hold at least half of the different words of a question's evidence, found through the index."""
+    evidence = read(spark, sf, "holdout_questions").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.array_distinct(T.tokens(F.col("evidence"))).alias("t"))
+    words = broadcast_if_small(evidence.select("qid", F.size("t").alias("need"), F.explode("t").alias("term")))
+    held = _index(spark, sf).postings.join(words, "term").groupBy("qid", "doc_id", "need").agg(F.count("*").alias("n"))
+    return held.where(F.col("n") >= 0.5 * F.col("need")).select("qid", "doc_id")
 
 
 @register(
@@ -219,7 +232,7 @@ def hit_at_k_mrr(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"WITH {_BM25}, {_GOLD} SELECT qid, min(lexical_rank)::INTEGER AS rank0 FROM lex JOIN gold USING (qid, doc_id) GROUP BY 1")
 def first_relevant_rank(spark: SparkSession, sf: str) -> DataFrame:
-    lex = R.ranked(R.bm25(_queries(spark, sf), _docs(spark, sf)).where("score > 0"), 30, "lexical")
+    lex = R.ranked(R.bm25(_queries(spark, sf), _index(spark, sf)).where("score > 0"), 30, "lexical")
     return lex.join(_gold(spark, sf), ["qid", "doc_id"]).groupBy("qid").agg(F.min("lexical_rank").alias("rank0"))
 
 
@@ -280,15 +293,15 @@ def leak_counts(spark: SparkSession, sf: str) -> DataFrame:
     SELECT term, df FROM w WHERE df <= greatest(2, floor(n / 6)) AND length(term) >= 3"""
 )
 def distinctive_words(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf)
-    n = R.corpus_size(docs)[0]
-    return R.document_frequency(docs).where((F.col("df") <= max(2, n // 6)) & (F.length("term") >= 3))
+    index = _index(spark, sf)
+    n = index.n_docs
+    return index.terms.select("term", "df").where((F.col("df") <= max(2, n // 6)) & (F.length("term") >= 3))
 
 
 @register(f"WITH {_INDEX} SELECT doc_id, list_transform(list_sort(list((df, term)))[1:3], lambda x: x[2]) AS rarest FROM (SELECT doc_id, term, df, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS r FROM tf JOIN df USING (term)) WHERE r <= 3 GROUP BY 1")
 def rarest_words(spark: SparkSession, sf: str) -> DataFrame:
-    p = R.postings(_docs(spark, sf)).select("doc_id", "term")
-    x = p.join(p.groupBy("term").agg(F.count("*").alias("df")), "term")
+    index = _index(spark, sf)
+    x = index.postings.select("doc_id", "term").join(index.terms.select("term", "df"), "term")
     w = Window.partitionBy("doc_id").orderBy("df", "term")
     top = x.withColumn("r", F.row_number().over(w)).where("r <= 3")
     return top.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda s: s["term"]).alias("rarest"))
@@ -298,8 +311,7 @@ def rarest_words(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {_INDEX} SELECT dfreq, count(*) AS terms FROM (SELECT df AS dfreq FROM df) GROUP BY 1"""
 )
 def distinct_token_hist(spark: SparkSession, sf: str) -> DataFrame:
-    d = _docs(spark, sf).select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return d.groupBy("term").agg(F.count("*").alias("dfreq")).groupBy("dfreq").agg(F.count("*").alias("terms"))
+    return _index(spark, sf).terms.select(F.col("df").alias("dfreq")).groupBy("dfreq").agg(F.count("*").alias("terms"))
 
 
 _VOCAB = f"""v AS (SELECT DISTINCT term, src FROM (SELECT unnest({_TOK.format('text')}) AS term, 'p' AS src FROM passages UNION ALL SELECT unnest({_TOK.format('text')}), 'd' FROM documents)),

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tamnan.functions import cluster
 from tamnan.operators import chunks, ranking, retrieval, text, verify
 
 
@@ -25,11 +27,49 @@ def test_superseded_documents_take_no_seat(spark):
     assert {r.doc_id for r in retrieval.seated(df).collect()} == set(range(2, 10))
 
 
-def test_bm25_counts_repeated_words_and_skips_unknown_ones(spark):
+def test_bm25_counts_repeated_words_and_skips_unknown_ones(spark, tmp_path):
     docs = spark.createDataFrame([(1, "cat dog"), (2, "dog dog bird"), (3, "fish"), (4, "ant"), (5, "bee")], "doc_id int, text string")
-    ask = lambda q: {r.doc_id: r.score for r in retrieval.bm25(spark.createDataFrame([(1, q)], "qid int, text string"), docs).collect()}
+    index = retrieval.Index.build(docs, str(tmp_path))
+    ask = lambda q: {r.doc_id: r.score for r in retrieval.bm25(spark.createDataFrame([(1, q)], "qid int, text string"), index).collect()}
     once, twice = ask("cat"), ask("cat cat unknown")
     assert set(once) == {1} and twice[1] == pytest.approx(2 * once[1])
+    reopened = retrieval.Index.open(spark, str(tmp_path))
+    assert (reopened.n_docs, reopened.mean_length) == (5, 1.6) == (index.n_docs, index.mean_length)
+
+
+def test_dense_search_in_blocks_is_one_search(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(60, None), (61, [0.0] * 8), (62, [0.0] * 8)]
+    vectors = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>")
+    queries = vectors.where("doc_id % 3 = 0").selectExpr("doc_id AS qid", "embedding AS v")
+    want = {(q, d): sum(a * b for a, b in zip(x, y)) for q, x in rows if q % 3 == 0 and x for d, y in rows if y}
+    whole = {(r.qid, r.doc_id): r.score for r in retrieval.dense(queries, vectors).where("score is not null").collect()}
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 200)
+    blocks = {(r.qid, r.doc_id): r.score for r in retrieval.dense(queries, vectors).where("score is not null").collect()}
+    assert whole == pytest.approx(want) and blocks == pytest.approx(want)
+    top = retrieval.ranked(retrieval.dense_top(queries, vectors, 4, same=False), 4, "n").collect()
+    for q in {k[0] for k in want}:
+        best = sorted(((-round(s, 9), d) for (x, d), s in want.items() if x == q and d != q))[:4]
+        assert [d for _, d in best] == [r.doc_id for r in sorted((r for r in top if r.qid == q), key=lambda r: r.n_rank)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            class sc:
+                class getCheckpointDir:
+                    isDefined = staticmethod(lambda: False)
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError):
+        cluster.ensure_checkpoint_dir(Session())
 
 
 def test_text_functions(spark):
