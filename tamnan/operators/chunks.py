@@ -35,7 +35,7 @@ def chunk_at_paragraph(text: str, limit: int = 1800, share: float = 0.5) -> list
 
 
 def pack_paragraphs(text: str, limit: int = 1000) -> list[str]:
-    """Greedy packing of paragraphs; one that is too long is cut and its short tail stays attached."""
+    """Greedy packing of paragraphs up to ``limit``; one that is too long is cut at blanks, and what is left of it is packed with what follows."""
     out: list[str] = []
     current = ""
     for p in (x.strip() for x in re.split(r"\n\s*\n", text)):

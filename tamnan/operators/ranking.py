@@ -58,6 +58,23 @@ def lagged_within(df: DataFrame, group: list[str], order: list[Column | str], co
     return o.join(before, same, "left").drop("_o", "_o2", *names)
 
 
+def islands_within(df: DataFrame, group: list[str], ts: str, order: list[Column | str], gap: Column, name: str = "island") -> DataFrame:
+    """``df`` with the number, from 1, of each row's island: a row begins one if ``ts`` is more than ``gap`` after the row before.
+
+    One layout: islands are numbered within partitions and shifted by what the partitions before hold of the group.
+    """
+    laid = _laid_out(df, group, order)
+    here = Window.partitionBy("_p", *group).orderBy("_i")
+    x = laid.withColumn("_s", F.coalesce((F.col(ts) - F.lag(ts).over(here)) > gap, F.lit(False)).cast("int"))
+    x = x.withColumn("_run", F.sum("_s").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    held = x.groupBy("_p", *group).agg(F.min_by(ts, "_i").alias("_a"), F.max_by(ts, "_i").alias("_b"), F.sum("_s").alias("_n"))
+    order_p = Window.partitionBy(*group).orderBy("_p")
+    starts = F.coalesce((F.col("_a") - F.lag("_b").over(order_p)) > gap, F.lit(True)).cast("int")
+    held = held.withColumn("_first", starts)
+    shift = held.select("_p", *group, (F.sum(F.col("_first") + F.col("_n")).over(order_p.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    return _back(x, shift, group).withColumn(name, F.col("_run") + F.col("_before")).drop("_p", "_i", "_s", "_run", "_before")
+
+
 def _back(laid: DataFrame, shift: DataFrame, group: list[str]) -> DataFrame:
     names = [f"_g{i}" for i in range(len(group))]
     right = broadcast_if_small(shift.select(F.col("_p").alias("_q"), *[F.col(g).alias(n) for g, n in zip(group, names)], *[c for c in shift.columns if c not in ("_p", *group)]))

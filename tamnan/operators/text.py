@@ -66,3 +66,24 @@ def minor(section: Column) -> Column:
 
 def markdown_row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[c.cast("string") for c in cells]), F.lit(" |"))
+
+
+def compose_thai(c: Column) -> Column:
+    """Nikhahit and sara aa as the one sign they make."""
+    return F.replace(c, F.lit("\u0e4d\u0e32"), F.lit("\u0e33"))
+
+
+def mac_roman_tables() -> tuple[str, str]:
+    """Characters that Mac Roman makes of the bytes of Thai letters, and those letters; built from the two codecs."""
+    pairs = []
+    for b in range(0xA1, 0xFC):
+        try:
+            pairs.append((bytes([b]).decode("mac_roman"), bytes([b]).decode("cp874")))
+        except UnicodeDecodeError:
+            continue
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def recode_mac_roman(c: Column) -> Column:
+    """Thai that was read as Mac Roman; other characters stay."""
+    return F.translate(c, *mac_roman_tables())

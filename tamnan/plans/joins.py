@@ -135,7 +135,7 @@ def asof_step(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_no, n.name FROM docs d JOIN n ON d.short IS NOT NULL AND length(n.name) >= 6 AND starts_with(d.short, n.name)"""
 )
 def containment_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Short names that begin with the name of an act: every prefix of a name that ends at a blank is a key, so this is a hash join."""
+    """Short names that begin with the name of an act: every prefix of a short name, a line of text, is a key, so this is a hash join."""
     d = read(spark, sf, "docs")
     names = d.where("act IS NOT NULL").select(F.trim(F.regexp_replace("act", r"\s*\(.*$", "")).alias("name")).where(F.length("name") >= 6).distinct()
     x = d.where("short IS NOT NULL").select("doc_no", "short")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamnan.catalog import register
-from tamnan.functions.cluster import broadcast_if_small, ensure_checkpoint_dir, read, spread
+from tamnan.functions.cluster import broadcast_if_small, cut_lineage, ensure_checkpoint_dir, read, spread
 from tamnan.operators import retrieval as R
 from tamnan.operators import text as T
 
@@ -370,3 +370,86 @@ def off_subject_penalty(spark: SparkSession, sf: str) -> DataFrame:
     q = broadcast_if_small(_queries(spark, sf).select("qid", named.alias("subjects")))
     c = _fused(spark, sf).withColumnRenamed("rrf", "score").join(q, "qid").join(read(spark, sf, "documents").select("doc_id", "title"), "doc_id")
     return R.off_subject_penalty(c, F.col("subjects"), F.col("title")).select("qid", "doc_id", F.round("penalised", 6).alias("penalised"))
+
+
+_SUBJECTS = "(?:OSPF|DHCP|SNMP|SMTP|VLAN|ICMP|IPv6|Wi-Fi|Ethernet)"
+#: What a question's word is also called, and the words that must stand beside it for that.
+_ALSO = [("ครู", "", "ผู้ประกอบวิชาชีพ"), ("บทลงโทษ|โทษ", "ระเบียบ|ข้อบังคับ|จรรยาบรรณ", "ภาคทัณฑ์ ตักเตือน"), ("router|Router", "", "เราเตอร์"), ("switch", "network|port|VLAN", "สวิตช์")]
+_CITE_NO = "(?:ข้อ|มาตรา) [0-9]+(?:/[0-9]+)?"
+
+
+def _expanded_sql(text: str) -> str:
+    text = f"translate({text}, '๐๑๒๓๔๕๖๗๘๙', '0123456789')"
+    return text + "".join(f" || CASE WHEN regexp_matches({text}, '{word}') AND regexp_matches({text}, '{near}') THEN ' {more}' ELSE '' END" for word, near, more in _ALSO)
+
+
+def _expanded(c: Column) -> Column:
+    """Digits in one form, then the other names of words whose context holds."""
+    c = T.arabic_digits(c)
+    return F.concat(c, *[F.when(c.rlike(word) & c.rlike(near), f" {more}").otherwise("") for word, near, more in _ALSO])
+
+
+_CHAIN = _FUSED.replace("question AS text", f"{_expanded_sql('question')} AS text").split("pen AS (")[0]
+_CHAIN += f"""asks AS (SELECT qid, list_distinct(regexp_extract_all(text, '{_CITE_NO}')) AS asked, list_distinct(regexp_extract_all(text, '{_SUBJECTS}')) AS subjects FROM q),
+pen AS (SELECT f.*, o.doc_id IS NOT NULL AS superseded, coalesce(list_contains(asked, nullif(regexp_extract(translate(d.text, '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '{_CITE_NO}'), '')), false) AS exact,
+  (rrf + CASE WHEN coalesce(list_contains(asked, nullif(regexp_extract(translate(d.text, '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '{_CITE_NO}'), '')), false) THEN 0.5 ELSE 0 END)
+  * CASE WHEN o.doc_id IS NOT NULL THEN 0.6 ELSE 1 END * CASE WHEN len(subjects) = 1 AND NOT coalesce(contains(d.title, subjects[1]), false) THEN 0.5 ELSE 1 END AS score
+  FROM fused f JOIN asks USING (qid) JOIN documents d USING (doc_id) LEFT JOIN old o USING (doc_id))"""
+_CHAIN += _SEATED[len(_FUSED) :]
+
+
+@register(
+    f"""WITH {_CHAIN}, g AS (SELECT qid, coalesce(max(dense_score), 0) AS max_dense, bool_or(exact) AS exact_section FROM pen GROUP BY 1)
+    SELECT qid, pos::INTEGER AS pos, doc_id, round(score, 6) AS score, g.exact_section, max_dense >= 0.46 OR g.exact_section AS in_scope FROM fin JOIN g USING (qid)"""
+)
+def full_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain: digits, expansion, both rankings, fusion, exact section, superseded and off-subject penalties, seats, and a gate that an exact section opens."""
+    p = R.P
+    q = _queries(spark, sf).select("qid", _expanded(F.col("text")).alias("text"))
+    lex = R.ranked(R.bm25(q, _index(spark, sf)).where("score > 0"), p.top_lexical, "lexical")
+    fused = R.fuse(R.ranked(R.dense_top(_query_vectors(spark, sf), _vectors(spark, sf), p.top_dense), p.top_dense, "dense"), lex)
+    all_of = lambda rx: F.array_distinct(F.regexp_extract_all("text", F.lit(f"({rx})")))
+    asks = broadcast_if_small(q.select("qid", all_of(_CITE_NO).alias("asked"), all_of(_SUBJECTS).alias("subjects")))
+    docs = read(spark, sf, "documents").select("doc_id", "title", F.nullif(F.regexp_extract(T.arabic_digits(F.col("text")), f"({_CITE_NO})", 1), F.lit("")).alias("cited"))
+    old = R.superseded_copies(_docs(spark, sf)).withColumn("superseded", F.lit(True))
+    few = broadcast_if_small(fused.join(asks, "qid"))
+    x = docs.join(few, "doc_id").join(old, "doc_id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
+    x = x.withColumn("exact", F.coalesce(F.array_contains("asked", F.col("cited")), F.lit(False)))
+    x = R.exact_number_boost(x.withColumn("score", F.col("rrf")).withColumn("part", F.lit(0)), F.col("asked"), F.col("cited"))
+    x = x.withColumn("score", F.col("boosted") * F.when(F.col("superseded"), p.superseded).otherwise(1.0))
+    x = R.off_subject_penalty(x, F.col("subjects"), F.col("title")).withColumn("score", F.col("penalised"))
+    w = Window.partitionBy("qid")
+    x = x.withColumn("max_dense", F.coalesce(F.max("dense_score").over(w), F.lit(0.0))).withColumn("exact_section", F.bool_or("exact").over(w))
+    return R.seated(x, score="score").select("qid", "pos", "doc_id", F.round("score", 6).alias("score"), "exact_section", ((F.col("max_dense") >= p.gate) | F.col("exact_section")).alias("in_scope"))
+
+
+@register(
+    f"""WITH {_FUSED}, {_GOLD}, cfg AS (SELECT wd, wl, gd, gl FROM (VALUES (1.0::DOUBLE), (1.5), (2.0), (3.0)) a(wd), (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0)) b(wl), (VALUES (0), (1), (2), (3)) c(gd), (VALUES (0), (1), (2)) d(gl)),
+    s AS (SELECT wd, wl, gd, gl, qid, doc_id, pen.superseded, (coalesce(wd / (61 + dense_rank), 0) + coalesce(wl / (61 + lexical_rank), 0)) * CASE WHEN superseded THEN 0.6 ELSE 1 END AS v,
+      NOT superseded AND (coalesce(dense_rank < gd, false) OR coalesce(lexical_rank < gl, false)) AS seat FROM pen, cfg),
+    k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY wd, wl, gd, gl, qid ORDER BY seat DESC, round(v, 9) DESC, doc_id) <= 6),
+    r AS (SELECT *, row_number() OVER (PARTITION BY wd, wl, gd, gl, qid ORDER BY round(v, 9) DESC, doc_id) AS pos FROM k),
+    h AS (SELECT wd, wl, gd, gl, qid, min(pos) AS rank FROM r JOIN gold USING (qid, doc_id) GROUP BY ALL),
+    t AS (SELECT wd, wl, gd, gl, count(*) FILTER (rank <= 1) AS at1, count(*) FILTER (rank <= 3) AS at3, count(*) AS at6 FROM h GROUP BY ALL)
+    SELECT wd, wl, gd::INTEGER AS gd, gl::INTEGER AS gl, at1, at3, at6, (2 * at6 + 2 * at1 + at3)::BIGINT AS objective, row_number() OVER (ORDER BY 2 * at6 + 2 * at1 + at3 DESC, wd, wl, gd, gl) = 1 AS best FROM t"""
+)
+def fusion_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """192 weightings and seatings over one retrieval pass with their objective and the best of them; the grid is exploded from a literal."""
+    grid = [(d, x, a, b) for d in (1.0, 1.5, 2.0, 3.0) for x in (0.0, 0.25, 0.5, 1.0) for a in range(4) for b in range(3)]
+    cfg = F.explode(F.array(*[F.struct(F.lit(d).alias("wd"), F.lit(x).alias("wl"), F.lit(a).alias("gd"), F.lit(b).alias("gl")) for d, x, a, b in grid])).alias("c")
+    pen = cut_lineage(_penalised(spark, sf).select("qid", "doc_id", "dense_rank", "lexical_rank", "superseded").join(_gold(spark, sf).withColumn("gold", F.lit(True)), ["qid", "doc_id"], "left"))
+    s = pen.select("*", cfg).select("qid", "doc_id", "dense_rank", "lexical_rank", "superseded", "gold", "c.*")
+    part = lambda w, r: F.coalesce(F.col(w) / (61 + F.col(r)), F.lit(0.0))
+    v = F.round((part("wd", "dense_rank") + part("wl", "lexical_rank")) * F.when(F.col("superseded"), 0.6).otherwise(1.0), 9)
+    within = lambda r, g: F.coalesce(F.col(r) < F.col(g), F.lit(False))
+    s = s.withColumn("v", v).withColumn("seat", ~F.col("superseded") & (within("dense_rank", "gd") | within("lexical_rank", "gl")))
+    key = ["wd", "wl", "gd", "gl"]
+    k = s.withColumn("r", F.row_number().over(Window.partitionBy(*key, "qid").orderBy(F.desc("seat"), F.desc("v"), "doc_id"))).where("r <= 6")
+    r = k.withColumn("pos", F.row_number().over(Window.partitionBy(*key, "qid").orderBy(F.desc("v"), "doc_id"))).where("gold")
+    h = r.groupBy(*key, "qid").agg(F.min("pos").alias("rank"))
+    t = h.groupBy(*key).agg(F.count_if(F.col("rank") <= 1).alias("at1"), F.count_if(F.col("rank") <= 3).alias("at3"), F.count("*").alias("at6"))
+    t = t.withColumn("objective", 2 * F.col("at6") + 2 * F.col("at1") + F.col("at3"))
+    top = t.agg(F.min(F.struct((-F.col("objective")).alias("o"), *key)).alias("m"))  # one row
+    one = F.lit(1).alias("one")
+    same = F.struct((-F.col("objective")).alias("o"), *key) == F.col("m")
+    return t.select("*", one).join(F.broadcast(top.select("m", one)), "one").select(*key, "at1", "at3", "at6", "objective", same.alias("best"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamnan.catalog import register
-from tamnan.functions.cluster import broadcast_if_small, read
+from tamnan.functions.cluster import broadcast_if_small, cut_lineage, read
 from tamnan.operators import text as T
 from tamnan.operators.ranking import ordinal_within
 
@@ -130,12 +130,19 @@ def superseded_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_key, arg_max(cur, depth) AS newest, max(depth)::INTEGER AS steps FROM c GROUP BY 1"""
 )
 def newest_version(spark: SparkSession, sf: str) -> DataFrame:
-    """Follows superseded_by to its end, eight steps at most, by joins on the key."""
-    edges = read(spark, sf, "docs").where("superseded_by IS NOT NULL").select("doc_key", "superseded_by")
-    found = edges.select("doc_key", F.col("superseded_by").alias("newest"), F.lit(1).alias("steps"))
-    nxt = edges.select(F.col("doc_key").alias("k"), F.col("superseded_by").alias("s"))
-    for _ in range(7):
-        found = found.join(nxt, found.newest == nxt.k, "left").select("doc_key", F.coalesce("s", "newest").alias("newest"), (F.col("steps") + F.col("s").isNotNull().cast("int")).alias("steps"))
+    """Follows superseded_by to its end by doubling: after n joins 2**n links are followed.
+
+    Ends when no link goes on; in a circle, which has no end, when more links were followed than there are.
+    """
+    found = cut_lineage(read(spark, sf, "docs").where("superseded_by IS NOT NULL").select("doc_key", F.col("superseded_by").alias("newest"), F.lit(1).alias("steps")))
+    links, reach = found.count(), 1
+    while reach <= links:
+        onward = found.select(F.col("doc_key").alias("k"), F.col("newest").alias("s"), F.col("steps").alias("more"))
+        joined = cut_lineage(found.join(onward, found.newest == onward.k, "left"))
+        found = joined.select("doc_key", F.coalesce("s", "newest").alias("newest"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        if joined.where("k IS NOT NULL").isEmpty():
+            break
+        reach *= 2
     return found
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamnan.catalog import register
 from tamnan.functions.cluster import read
 from tamnan.operators import text as T
-from tamnan.operators.ranking import carried_within, lagged_within, ordinal_within
+from tamnan.operators.ranking import islands_within, ordinal_within
 
 _TIDY = "trim(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(160) || chr(9), '  '), ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')"
 
@@ -166,11 +166,9 @@ def chunk_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     SELECT user_id, island::BIGINT AS island, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM i GROUP BY 1, 2"""
 )
 def islands(spark: SparkSession, sf: str) -> DataFrame:
-    """Islands are numbered by their first events; the number is carried to the others."""
-    g = lagged_within(read(spark, sf, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], {"ts": "bt"})
-    g = g.select("user_id", "ts", "event_id", F.coalesce((F.col("ts") - F.col("bt")) > F.expr("INTERVAL '6' HOUR"), F.lit(True)).alias("starts"))
-    first = ordinal_within(g.where("starts"), ["user_id"], ["ts", "event_id"], "no").select("event_id", "no")
-    all_ = carried_within(g.join(first, "event_id", "left"), ["user_id"], ["ts", "event_id"], F.col("no"), "island")
+    """Numbered over sorted ranges, so one user's events may span many tasks."""
+    events = read(spark, sf, "events").select("user_id", "ts", "event_id")
+    all_ = islands_within(events, ["user_id"], "ts", ["ts", "event_id"], F.expr("INTERVAL '6' HOUR"))
     return all_.groupBy("user_id", "island").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 

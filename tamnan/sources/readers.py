@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tamnan.functions.cluster import ensure_checkpoint_dir
+
 from tamnan.operators.ranking import ordinal_within
 
 
@@ -103,3 +107,27 @@ def extracted(spark: SparkSession, path: str, ladder: list[tuple[str, Callable[[
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
     """``ordinal``, a row number from 0 over a total order, for access by position."""
     return ordinal_within(df, [], list(order)).withColumn("ordinal", F.col("ordinal") - 1)
+
+
+def cached(spark: SparkSession, paths: list[str], name: str, read) -> DataFrame:
+    """What ``read()`` gives, kept as parquet in the shared folder under ``name`` and the state of ``paths`` (names, sizes, times).
+
+    A changed file makes another key, so nothing stale is read; an unfinished write has no ``_SUCCESS`` and is made again.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    state = []
+    for p in paths:
+        fs = hadoop(p).getFileSystem(spark._jsc.hadoopConfiguration())
+        top = fs.getFileStatus(hadoop(p))
+        for s in fs.listStatus(hadoop(p)) if top.isDirectory() else [top]:
+            state.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    key = hashlib.sha256(repr((name, sorted(state))).encode()).hexdigest()[:32]
+    path = f"{ensure_checkpoint_dir(spark)}/cached-{key}"
+    if not hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(f"{path}/_SUCCESS")):
+        read().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def workbook_list(spark: SparkSession, path: str) -> DataFrame:
+    """(sheet, rows) of a workbook's tables."""
+    return spark.read.schema("no int, sheet string, rows bigint").json(f"{path}/_sheets_list").select("sheet", "rows")

@@ -42,3 +42,13 @@ def both_ways(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a = left.select(key).distinct().withColumn("l", F.lit(1))
     b = right.select(key).distinct().withColumn("r", F.lit(1))
     return a.join(b, key, "full").where("l IS NULL OR r IS NULL").select(key, F.when(F.col("l").isNull(), "left").otherwise("right").alias("missing_in"))
+
+
+def workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """The sheets of a workbook: one CSV folder each, in order, and ``_sheets`` that names them with their rows."""
+    spark = next(iter(sheets.values())).sparkSession
+    names = []
+    for i, (name, df) in enumerate(sheets.items()):
+        csv(df, f"{path}/sheet-{i:03d}")
+        names.append((i, name, spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}/sheet-{i:03d}").count()))
+    spark.createDataFrame(names, "no int, sheet string, rows bigint").coalesce(1).write.json(f"{path}/_sheets_list")

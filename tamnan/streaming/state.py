@@ -61,25 +61,45 @@ def newest(events: DataFrame, rows: int = RING) -> DataFrame:
 
 
 def ring_sink(path: str, rows: int = RING):
-    """A foreachBatch function that keeps the newest ``rows`` in a parquet table, rewritten by batch id."""
+    """A foreachBatch function that keeps the newest ``rows`` in a parquet table, rewritten by batch id.
+
+    A batch adds to the folder of the largest smaller id, so a retried batch writes what it wrote before; older folders
+    than that are removed once the new one is complete.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         keep = batch
-        if batch_id and (old := _latest(spark, path)) is not None:
-            keep = keep.unionByName(old)
+        folders = _folders(spark, path)
+        before = [f for i, f in folders if i < batch_id]
+        if before:
+            keep = keep.unionByName(spark.read.parquet(before[-1]))
         newest(keep, rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
+        for f in before[:-1]:
+            _delete(spark, f)
 
     return write
 
 
-def _latest(spark: SparkSession, path: str) -> DataFrame | None:
+def ring_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete state of a ring sink; None if it has none."""
+    folders = _folders(spark, path)
+    return spark.read.parquet(folders[-1][1]) if folders else None
+
+
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(batch id, folder) of the complete batches, in order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(path)):
+        return []
+    names = [s.getPath().toString() for s in fs.listStatus(hadoop(path))]
+    return sorted((int(n.rsplit("batch=", 1)[1]), n) for n in names if "batch=" in n and fs.exists(hadoop(f"{n}/_SUCCESS")))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    found = sorted(s.getPath().toString() for s in fs.listStatus(hadoop) if "batch=" in s.getPath().getName())
-    return spark.read.parquet(found[-1]) if found else None
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def answered(requests: DataFrame, replies: DataFrame, within: str = "10 minutes") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tamnan.functions import cluster
-from tamnan.operators import chunks, ranking, retrieval, text, verify
+from tamnan.operators import amendments, chunks, ranking, retrieval, text, verify
 
 
 def test_seat_displaces_a_higher_fused_score(spark):
@@ -154,3 +154,33 @@ def test_ordinals_and_carried_values_in_a_hot_group(spark):
     c = {r.i: r.p for r in ranking.lagged_within(df, ["g"], ["k", "i"], {"i": "p"}).collect()}
     assert {i: (a[i], b[i], c[i]) for i in a} == want
     assert ranking.ordinal_within(df.where("false"), ["g"], ["i"]).count() == 0
+
+
+def test_amending_sentences_are_parsed_and_folded(spark):
+    rows = [
+        ("a", 1, "ให้ยกเลิกความในวรรคสองของมาตรา ๗ และให้ใช้ความต่อไปนี้แทน\n“anew”"),
+        ("a", 2, "ให้เพิ่มความต่อไปนี้เป็นวรรคสามของมาตรา 7\n“more”"),
+        ("a", 3, "ให้ยกเลิกมาตรา 9 และให้ใช้ความต่อไปนี้แทน \"whole\""),
+        ("a", 4, "มาตรา 3 ไม่มีข้อความ"),
+        ("a", 5, None),
+    ]
+    ops = amendments.parsed(spark.createDataFrame(rows, "act string, no int, text string"))
+    got = [(r.kind, r.section, r.paragraph, r.payload) for r in ops.orderBy("no").collect()]
+    assert got[:3] == [("replace", "7", 2, "anew"), ("append", "7", None, "more"), ("set", "9", None, "whole")] and got[3][0] is None and got[4][0] is None
+    base = spark.createDataFrame([("a", "7", "one\ntwo"), ("a", "8", "kept"), ("b", "7", "other")], "act string, section string, body string")
+    done = {(r.act, r.section): r.body for r in amendments.amended(base, ops.where("kind IS NOT NULL").withColumnRenamed("payload", "body").drop("text")).collect()}
+    assert done == {("a", "7"): "one\nanew\nmore", ("a", "8"): "kept", ("a", "9"): "whole", ("b", "7"): "other"}
+
+
+def test_islands_over_ranges_are_those_of_one_window(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.randrange(3000), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "user_id int, ts int, event_id int").repartition(7)
+    got = {r.event_id: r.island for r in ranking.islands_within(df, ["user_id"], "ts", ["ts", "event_id"], F.lit(12)).collect()}
+    want, last = {}, {}
+    for u, t, e in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        n, before = last.get(u, (0, None))
+        n += before is None or t - before > 12
+        last[u] = (n, t)
+        want[e] = n
+    assert got == want
