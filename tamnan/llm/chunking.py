@@ -112,8 +112,8 @@ def split_oversized(items: DataFrame, limits: DataFrame, key: str = "passage_id"
 
         return pd.Series([one(*x) for x in zip(texts.tolist(), headings.tolist(), sizes.tolist(), overlaps.tolist())], dtype=object)
 
-    # one scan: texts within their limit reach the worker as nulls
-    parts = rows.withColumn("parts", cut(F.when(big, F.col("text")), F.when(big, F.col("heading")), "max_size", "overlap_size"))
+    # one scan: texts within their limit reach the worker as nulls; marked so that the optimiser doesn't call it once for each use
+    parts = rows.withColumn("parts", cut.asNondeterministic()(F.when(big, F.col("text")), F.when(big, F.col("heading")), "max_size", "overlap_size"))
     whole = F.array(F.struct(F.lit(0).alias("s"), F.length("text").alias("e"), F.col("text").alias("t")))
     pieced = parts.select("key", big.alias("oversized"), F.coalesce("parts", whole).alias("parts")).select("key", "oversized", F.size("parts").alias("n_pieces"), F.posexplode("parts").alias("piece", "p"))
     return pieced.select(F.col("key").alias(key), "piece", "n_pieces", F.col("p.s").alias("start_pos"), F.col("p.e").alias("end_pos"), "oversized", F.col("p.t").alias("piece_text"))
