@@ -204,3 +204,15 @@ def added_negations(claim: str, source: str, stem: int = 10) -> list[str]:
         if key in source and not re.search(r"(?:ไม่|มิ|ห้าม)[ก-๎]{0,3}" + re.escape(key), source):
             out.append(key)
     return out
+
+
+def applied(rows: DataFrame, key: str, columns: list[str], f: Callable, kind: str, name: str) -> DataFrame:
+    """(key, ``name``) with ``f`` of several columns, in Arrow batches; a row with a null among them gives null."""
+    key_kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [None if any(x is None for x in row) else f(*row) for row in zip(*(b[c].tolist() for c in columns))]
+            yield pd.DataFrame({key: b[key], name: pd.Series(out, dtype=object)})
+
+    return rows.select(key, *columns).mapInPandas(run, f"{key} {key_kind}, {name} {kind}")

@@ -5,7 +5,7 @@ Queries come in blocks of bounded size, so their terms and vectors are broadcast
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,9 +42,9 @@ class Params:
 P = Params()
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, cut_up: Callable[[Column], Column] = tokens) -> DataFrame:
     """(doc_id, dl, term, tf): ``docs`` has doc_id and text.  One shuffle on (doc_id, term), combined before it."""
-    cut = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    cut = docs.select("doc_id", cut_up(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     return cut.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -68,15 +68,15 @@ def terms(df: DataFrame, n_docs: int, mean: float, p: Params = P) -> DataFrame:
     return df.select("term", "df", F.when(raw < 0, F.lit(mean * p.negative_idf)).otherwise(raw).alias("idf"))
 
 
-def corpus_size(docs: DataFrame) -> tuple[int, float]:
+def corpus_size(docs: DataFrame, cut_up: Callable[[Column], Column] = tokens) -> tuple[int, float]:
     """(documents, mean length in tokens), of all documents."""
-    r = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    r = docs.select(F.size(cut_up(F.col("text"))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
     return int(r[0]), float(r[1] or 0.0)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, cut_up: Callable[[Column], Column] = tokens) -> DataFrame:
     """(qid, term, n): repeated words count again."""
-    return queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("n"))
+    return queries.select("qid", F.explode(cut_up(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -87,23 +87,25 @@ class Index:
     terms: DataFrame
     n_docs: int
     mean_length: float
+    cut_up: Callable[[Column], Column] = tokens
 
     @staticmethod
-    def build(docs: DataFrame, path: str, p: Params = P) -> Index:
+    def build(docs: DataFrame, path: str, p: Params = P, cut_up: Callable[[Column], Column] = tokens) -> Index:
         """Write the index of ``docs`` (doc_id, text) under ``path``, a folder all executors share, and open it."""
         spark = docs.sparkSession
-        n, length = corpus_size(docs)
-        postings(docs).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        n, length = corpus_size(docs, cut_up)
+        postings(docs, cut_up).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         df = cut_lineage(stored.groupBy("term").agg(F.count("*").alias("df")))
         terms(df, n, mean_idf(df, n), p).sort("term").write.mode("overwrite").parquet(f"{path}/terms")
         spark.createDataFrame([(n, length)], "n_docs bigint, mean_length double").write.mode("overwrite").parquet(f"{path}/size")
-        return Index.open(spark, path)
+        return Index.open(spark, path, cut_up)
 
     @staticmethod
-    def open(spark: SparkSession, path: str) -> Index:
+    def open(spark: SparkSession, path: str, cut_up: Callable[[Column], Column] = tokens) -> Index:
+        """The index under ``path``; ``cut_up`` must be what it was built with."""
         size = spark.read.parquet(f"{path}/size").first()
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), size["n_docs"], size["mean_length"])
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), size["n_docs"], size["mean_length"], cut_up)
 
 
 #: Query terms up to which the stored postings are read through a pushed filter.
@@ -116,7 +118,7 @@ def bm25(queries: DataFrame, index: Index, p: Params = P) -> DataFrame:
     The block's terms reach the scan of the postings, which are sorted by term, as a filter, so only row groups
     that hold them are read; beyond ``PUSHED_TERMS`` they are joined, broadcast only while they are few.
     """
-    wanted = query_terms(queries)
+    wanted = query_terms(queries, index.cut_up)
     names = [r["term"] for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
     cut = (lambda df: df.where(F.col("term").isin(names))) if len(names) <= PUSHED_TERMS else (lambda df: df)
     weights = broadcast_if_small(cut(index.terms).select("term", "idf").join(wanted, "term"))

@@ -22,6 +22,19 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), TOKEN_GAP), lambda t: t != "")
 
 
+#: Scripts written without blanks, and the length of the overlapping pieces their runs are indexed by.
+UNSPACED, GRAM = "[฀-๿぀-ヿ一-鿿]", 4
+
+
+def search_tokens(c: Column) -> Column:
+    """``tokens``, with runs of scripts that have no blanks between words as all their pieces of ``GRAM`` characters.
+
+    Needs no dictionary, so names and new words are found like any other.
+    """
+    pieces = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - GRAM + 1), lambda i: F.substring(t, i, F.lit(GRAM)))
+    return F.flatten(F.transform(tokens(c), lambda t: F.when(t.rlike(UNSPACED) & (F.length(t) > GRAM), pieces(t)).otherwise(F.array(t))))
+
+
 def tidy(c: Column) -> Column:
     """No-break spaces and tabs to blanks, three or more line breaks to two, blanks collapsed and trimmed."""
     c = F.translate(c, " \t", "  ")

@@ -9,6 +9,7 @@ from tamnan.catalog import register
 from tamnan.functions.cluster import read
 from tamnan.operators import language as L
 from tamnan.operators import text as T
+from tamnan.operators import verify as V
 
 
 @register("SELECT doc_no, CASE WHEN contains(short, ' et al.') OR contains(short, ' และคณะ') THEN 'many' WHEN contains(short, ' & ') THEN 'two' ELSE 'one' END AS authors, try_cast(nullif(regexp_extract(short, '\\(([0-9]{4})\\)', 1), '') AS INTEGER) AS year FROM docs WHERE regexp_matches(short, '\\([0-9]{4}\\)')")
@@ -113,3 +114,59 @@ def tidy_answers(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def hashed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return L.embedded(read(spark, sf, "questions"), "id", "question", L.hashed_encoder(64), 64)
+
+
+@register()
+def resolved_pointers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers in brackets as the sources they point to."""
+    return L.applied(read(spark, sf, "answers"), "answer_id", ["answer", "sources"], lambda a, s: L.resolve_pointers(a, list(s)), "string", "answer")
+
+
+@register()
+def reordered_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists of an answer in the order of the question's passages: here of the text itself, sorted, as the source."""
+    d = read(spark, sf, "documents").where("text IS NOT NULL")
+    return L.applied(d, "doc_id", ["text"], lambda t: "\n".join(V.reorder_list(t.split("\n"), sorted(t.split("\n")))), "string", "text")
+
+
+@register()
+def number_word_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of Thai number words in the passages and what they are worth."""
+    runs = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("((?:ศูนย์|หนึ่ง|เอ็ด|สอง|ยี่|สาม|สี่|ห้า|หก|เจ็ด|แปด|เก้า|สิบ|ร้อย|พัน|หมื่น|แสน|ล้าน){2,})"))))
+    return V.number_words(read(spark, sf, "passages").select(runs.alias("words")).distinct().select("words", F.col("words").alias("w")), "words", "w")
+
+
+@register()
+def modal_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that say must where their question says should, or the reverse, with the wording put right, and what they negate on their own."""
+    a = read(spark, sf, "answers")
+    put = L.applied(a, "answer_id", ["answer", "question"], L.corrected_modal, "string", "corrected")
+    added = L.applied(a, "answer_id", ["answer", "question"], L.added_negations, "array<string>", "negated")
+    return put.join(added, "answer_id")
+
+
+@register()
+def soft_broken(spark: SparkSession, sf: str) -> DataFrame:
+    return L.applied(read(spark, sf, "questions"), "id", ["question"], lambda t: L.soft_breaks(t, WORDS), "string", "question")
+
+
+@register()
+def page_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of each document's passages as runs; a document has as many pages as it has."""
+    p = read(spark, sf, "passages").where("page_from IS NOT NULL").groupBy("sysid").agg(F.collect_set("page_from").alias("pages"))
+    return L.applied(p, "sysid", ["pages"], lambda x: L.merge_runs(list(map(int, x))), "string", "runs")
+
+
+@register(
+    """WITH t AS (SELECT DISTINCT chapter_title AS heading FROM passages WHERE length(chapter_title) >= 4), l AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM passages WHERE text IS NOT NULL)
+    SELECT line, max_by(heading, length(heading)) AS heading FROM l JOIN t ON length(line) > length(heading) AND ends_with(line, heading) GROUP BY 1"""
+)
+def unglued_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that end in a chapter title stuck to them, the longest title; the ending of each length that titles have is a key, so this is a hash join."""
+    p = read(spark, sf, "passages")
+    titles = p.where("length(chapter_title) >= 4").select(F.col("chapter_title").alias("heading")).distinct()
+    lengths = sorted(r["n"] for r in titles.select(F.length("heading").alias("n")).distinct().collect())  # no more than the longest title has characters
+    lines = p.where("text IS NOT NULL").select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    ends = lines.select("line", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n")).where(F.length("line") > F.col("n"))
+    found = ends.withColumn("heading", F.right("line", F.col("n"))).join(titles, "heading")
+    return found.groupBy("line").agg(F.max_by("heading", "n").alias("heading"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,12 +21,12 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 _INDEXES: dict[tuple, R.Index] = {}
 
 
-def _index(spark: SparkSession, sf: str) -> R.Index:
+def _index(spark: SparkSession, sf: str, cut_up: Callable[[Column], Column] = T.tokens) -> R.Index:
     """The stored index of the documents, built once a session and set of files, in the shared folder."""
     docs = read(spark, sf, "documents")
-    key = (spark.sparkContext.applicationId, sf, *docs.inputFiles())
+    key = (spark.sparkContext.applicationId, sf, cut_up.__name__, *docs.inputFiles())
     if key not in _INDEXES:
-        _INDEXES[key] = R.Index.build(_docs(spark, sf), f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+        _INDEXES[key] = R.Index.build(_docs(spark, sf), f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", cut_up=cut_up)
     return _INDEXES[key]
 
 
@@ -396,6 +397,8 @@ pen AS (SELECT f.*, o.doc_id IS NOT NULL AS superseded, coalesce(list_contains(a
   * CASE WHEN o.doc_id IS NOT NULL THEN 0.6 ELSE 1 END * CASE WHEN len(subjects) = 1 AND NOT coalesce(contains(d.title, subjects[1]), false) THEN 0.5 ELSE 1 END AS score
   FROM fused f JOIN asks USING (qid) JOIN documents d USING (doc_id) LEFT JOIN old o USING (doc_id))"""
 _CHAIN += _SEATED[len(_FUSED) :]
+_GTOK = f"flatten(list_transform({_TOK.format('text')}, lambda t: CASE WHEN regexp_matches(t, '{T.UNSPACED}') AND length(t) > 4 THEN list_transform(range(1, length(t) - 2), lambda i: substring(t, i, 4)) ELSE [t] END))"
+_CHAIN = _CHAIN.replace(_TOK.format("text"), _GTOK)
 
 
 @register(
@@ -403,10 +406,10 @@ _CHAIN += _SEATED[len(_FUSED) :]
     SELECT qid, pos::INTEGER AS pos, doc_id, round(score, 6) AS score, g.exact_section, max_dense >= 0.46 OR g.exact_section AS in_scope FROM fin JOIN g USING (qid)"""
 )
 def full_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole chain: digits, expansion, both rankings, fusion, exact section, superseded and off-subject penalties, seats, and a gate that an exact section opens."""
+    """The whole chain over an index that cuts up scripts without blanks: digits, expansion, both rankings, fusion, exact section, superseded and off-subject penalties, seats, and a gate that an exact section opens."""
     p = R.P
     q = _queries(spark, sf).select("qid", _expanded(F.col("text")).alias("text"))
-    lex = R.ranked(R.bm25(q, _index(spark, sf)).where("score > 0"), p.top_lexical, "lexical")
+    lex = R.ranked(R.bm25(q, _index(spark, sf, T.search_tokens)).where("score > 0"), p.top_lexical, "lexical")
     fused = R.fuse(R.ranked(R.dense_top(_query_vectors(spark, sf), _vectors(spark, sf), p.top_dense), p.top_dense, "dense"), lex)
     all_of = lambda rx: F.array_distinct(F.regexp_extract_all("text", F.lit(f"({rx})")))
     asks = broadcast_if_small(q.select("qid", all_of(_CITE_NO).alias("asked"), all_of(_SUBJECTS).alias("subjects")))
@@ -423,6 +426,12 @@ def full_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.seated(x, score="score").select("qid", "pos", "doc_id", F.round("score", 6).alias("score"), "exact_section", ((F.col("max_dense") >= p.gate) | F.col("exact_section")).alias("in_scope"))
 
 
+@register(f"WITH {_INDEX.replace(_TOK.format('text'), _GTOK)} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def search_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of the index that cuts up scripts without blanks."""
+    return _index(spark, sf, T.search_tokens).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @register(
     f"""WITH {_FUSED}, {_GOLD}, cfg AS (SELECT wd, wl, gd, gl FROM (VALUES (1.0::DOUBLE), (1.5), (2.0), (3.0)) a(wd), (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0)) b(wl), (VALUES (0), (1), (2), (3)) c(gd), (VALUES (0), (1), (2)) d(gl)),
     s AS (SELECT wd, wl, gd, gl, qid, doc_id, pen.superseded, (coalesce(wd / (61 + dense_rank), 0) + coalesce(wl / (61 + lexical_rank), 0)) * CASE WHEN superseded THEN 0.6 ELSE 1 END AS v,
