@@ -81,10 +81,11 @@ def query_terms(queries: DataFrame, cut_up: Callable[[Column], Column] = tokens)
 
 @dataclass(frozen=True)
 class Index:
-    """A stored inverted index: postings sorted by term, terms with their idf, and the corpus's size."""
+    """A stored inverted index: postings sorted by term, terms with their idf, later copies of a text, and the corpus's size."""
 
     postings: DataFrame
     terms: DataFrame
+    copies: DataFrame
     n_docs: int
     mean_length: float
     cut_up: Callable[[Column], Column] = tokens
@@ -98,6 +99,7 @@ class Index:
         stored = spark.read.parquet(f"{path}/postings")
         df = cut_lineage(stored.groupBy("term").agg(F.count("*").alias("df")))
         terms(df, n, mean_idf(df, n), p).sort("term").write.mode("overwrite").parquet(f"{path}/terms")
+        superseded_copies(docs).write.mode("overwrite").parquet(f"{path}/copies")
         spark.createDataFrame([(n, length)], "n_docs bigint, mean_length double").write.mode("overwrite").parquet(f"{path}/size")
         return Index.open(spark, path, cut_up)
 
@@ -105,7 +107,7 @@ class Index:
     def open(spark: SparkSession, path: str, cut_up: Callable[[Column], Column] = tokens) -> Index:
         """The index under ``path``; ``cut_up`` must be what it was built with."""
         size = spark.read.parquet(f"{path}/size").first()
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), size["n_docs"], size["mean_length"], cut_up)
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/copies"), size["n_docs"], size["mean_length"], cut_up)
 
 
 #: Query terms up to which the stored postings are read through a pushed filter.

@@ -157,7 +157,7 @@ def _fused(spark: SparkSession, sf: str, p: R.Params = R.P) -> DataFrame:
 
 
 def _penalised(spark: SparkSession, sf: str, p: R.Params = R.P) -> DataFrame:
-    old = R.superseded_copies(_docs(spark, sf)).withColumn("superseded", F.lit(True))
+    old = _index(spark, sf).copies.withColumn("superseded", F.lit(True))
     f = _fused(spark, sf, p).join(old, "doc_id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
     return f.withColumn("score", F.col("rrf") * F.when(F.col("superseded"), p.superseded).otherwise(1.0))
 
@@ -413,9 +413,10 @@ def full_search(spark: SparkSession, sf: str) -> DataFrame:
     fused = R.fuse(R.ranked(R.dense_top(_query_vectors(spark, sf), _vectors(spark, sf), p.top_dense), p.top_dense, "dense"), lex)
     all_of = lambda rx: F.array_distinct(F.regexp_extract_all("text", F.lit(f"({rx})")))
     asks = broadcast_if_small(q.select("qid", all_of(_CITE_NO).alias("asked"), all_of(_SUBJECTS).alias("subjects")))
-    docs = read(spark, sf, "documents").select("doc_id", "title", F.nullif(F.regexp_extract(T.arabic_digits(F.col("text")), f"({_CITE_NO})", 1), F.lit("")).alias("cited"))
-    old = R.superseded_copies(_docs(spark, sf)).withColumn("superseded", F.lit(True))
-    few = broadcast_if_small(fused.join(asks, "qid"))
+    old = _index(spark, sf, T.search_tokens).copies.withColumn("superseded", F.lit(True))
+    few = cut_lineage(fused.join(asks, "qid"))  # at most both rankings of each query
+    cited = F.nullif(F.regexp_extract(T.arabic_digits(F.col("text")), f"({_CITE_NO})", 1), F.lit(""))
+    docs = read(spark, sf, "documents").select("doc_id", "title", "text").join(broadcast_if_small(few.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "title", cited.alias("cited"))
     x = docs.join(few, "doc_id").join(old, "doc_id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
     x = x.withColumn("exact", F.coalesce(F.array_contains("asked", F.col("cited")), F.lit(False)))
     x = R.exact_number_boost(x.withColumn("score", F.col("rrf")).withColumn("part", F.lit(0)), F.col("asked"), F.col("cited"))
