@@ -1,3 +1,3 @@
 """The queries, registered by importing their modules."""
 
-from tamnan.plans import checks, events, files, handles, joins, retrieve, rules, stats, texts  # noqa: F401
+from tamnan.plans import audits, checks, events, files, handles, joins, retrieve, rules, stats, texts  # noqa: F401
