@@ -144,3 +144,74 @@ def context_capacity(spark: SparkSession, sf: str) -> DataFrame:
     """The contexts that stay when only so many chats are held: those heard from last; each chat is one row before they are ordered."""
     last = read(spark, sf, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "m.ts", "m.event_id")
     return last.orderBy(F.desc("ts"), F.desc("event_id")).limit(40).select("user_id", "event_id")
+
+
+_EITHER = "(มาตรฐาน|โพรโทคอล|ระเบียบ|ตาราง|ประกาศ|ข้อบังคับ)"
+_VOID = "^(ระเบียบ|ตาราง|ประกาศ|ข้อบังคับ)$"
+
+
+@register(
+    f"""WITH a AS (SELECT answer_id, string_split(answer, 'ข้อ ') AS parts FROM answers WHERE contains(answer, 'ข้อ ')), x AS (SELECT answer_id, len(parts) AS n, generate_subscripts(parts, 1) AS i, unnest(parts) AS seg FROM a),
+    m AS (SELECT answer_id, i + 1 AS cite, list_extract(regexp_extract_all(right(seg, 90), '{_EITHER}'), -1) AS word FROM x WHERE i < n)
+    SELECT answer_id, cite::INTEGER AS cite, CASE WHEN NOT regexp_matches(word, '{_VOID}') THEN word END AS instrument, coalesce(regexp_matches(word, '{_VOID}'), false) AS voided FROM m"""
+)
+def asof_named(spark: SparkSession, sf: str) -> DataFrame:
+    """The kind of instrument that stands nearest before each citation, void where another word for an instrument stands between."""
+    parts = read(spark, sf, "answers").where(F.contains("answer", F.lit("ข้อ "))).select("answer_id", F.split("answer", "ข้อ ").alias("p"))
+    seg = parts.select("answer_id", F.size("p").alias("n"), F.posexplode("p").alias("i", "seg")).where("i + 1 < n")
+    word = F.try_element_at(F.regexp_extract_all(F.right("seg", F.lit(90)), F.lit(_EITHER)), F.lit(-1))
+    void = F.coalesce(word.rlike(_VOID), F.lit(False))
+    return seg.select("answer_id", (F.col("i") + 2).alias("cite"), F.when(~void, word).alias("instrument"), void.alias("voided"))
+
+
+_ROWS_UP = "PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
+@register(
+    f"""WITH s AS (SELECT l_orderkey, l_linenumber AS n, last_value(CASE WHEN l_returnflag IN ('R', 'A') THEN l_returnflag || l_linenumber END IGNORE NULLS) OVER ({_ROWS_UP} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM lineitem)
+    SELECT l_orderkey, n, CASE WHEN starts_with(mark, 'R') THEN try_cast(substring(mark, 2) AS INTEGER) END AS above FROM s"""
+)
+def asof_step_void(spark: SparkSession, sf: str) -> DataFrame:
+    """The step line above each block of a page (an order of a few lines), void where a caption stands between."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.last(F.when(F.col("l_returnflag").isin("R", "A"), F.struct("l_returnflag", "l_linenumber")), ignorenulls=True).over(w)
+    s = read(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), mark.alias("mark"))
+    return s.select("l_orderkey", "n", F.when(F.col("mark.l_returnflag") == "R", F.col("mark.l_linenumber")).alias("above"))
+
+
+@register(
+    """WITH b AS (SELECT l_orderkey, l_linenumber AS n, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS y, l_partkey % 200 AS x FROM lineitem),
+    r AS (SELECT *, coalesce(y - lag(y) OVER w > 15, true)::INTEGER AS starts FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY y, x, n)),
+    rows_ AS (SELECT *, sum(starts) OVER (PARTITION BY l_orderkey ORDER BY y, x, n) AS band FROM r),
+    c AS (SELECT *, coalesce(x - lag(x) OVER w > 25, true)::INTEGER AS begins FROM rows_ WINDOW w AS (PARTITION BY l_orderkey, band ORDER BY x, y, n)),
+    cells AS (SELECT *, sum(begins) OVER (PARTITION BY l_orderkey, band ORDER BY x, y, n) AS col FROM c)
+    SELECT l_orderkey, band::BIGINT AS band, col::BIGINT AS col, count(*) AS blocks, count(*) > 1 AS dense FROM cells GROUP BY 1, 2, 3"""
+)
+def page_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of a page in row bands, and those in column bands, with gaps tolerated; a page is an order of a few lines."""
+    day = F.date_diff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date"))
+    b = read(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), day.alias("y"), (F.col("l_partkey") % 200).alias("x"))
+
+    def banded(df: DataFrame, keys: list[str], along: str, order: list[str], gap: int, name: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        starts = F.coalesce((F.col(along) - F.lag(along).over(w)) > gap, F.lit(True)).cast("int")
+        return df.withColumn("_s", starts).withColumn(name, F.sum("_s").over(w)).drop("_s")
+
+    cells = banded(banded(b, ["l_orderkey"], "y", ["y", "x", "n"], 15, "band"), ["l_orderkey", "band"], "x", ["x", "y", "n"], 25, "col")
+    return cells.groupBy("l_orderkey", "band", "col").agg(F.count("*").alias("blocks"), (F.count("*") > 1).alias("dense"))
+
+
+_FROM, _TO = "^(หมวด|บทที่|ส่วนที่|1\\.) ", "^(บรรณานุกรม|เอกสารอ้างอิง|แบบฝึกหัด|บทเฉพาะกาล)"
+
+
+@register(
+    f"""WITH {_LINES}, f AS (SELECT *, CASE WHEN regexp_matches(line, '{_TO}') THEN 0 WHEN regexp_matches(line, '{_FROM}') THEN 1 END AS mark FROM l),
+    k AS (SELECT doc_id, pos, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS kept FROM f)
+    SELECT doc_id, pos::INTEGER AS pos FROM k WHERE kept = 1"""
+)
+def kept_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines from the first heading on, without the parts that end a chapter (references, exercises, transitory provisions) up to the next heading."""
+    mark = F.when(F.col("line").rlike(_TO), 0).when(F.col("line").rlike(_FROM), 1)
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    k = _lines(spark, sf).select("doc_id", "pos", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0)).alias("kept"))
+    return k.where("kept = 1").select("doc_id", "pos")
