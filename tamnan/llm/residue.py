@@ -10,7 +10,8 @@ unit is residue if
   (a text *about* placeholders carries words of the subject, its placeholder never varies, or it shows
   several kinds of syntax side by side);
 * ``slot`` of no known syntax: a bracketed filler in a slot that other records of the same frame leave
-  unfilled, if the filler retains one of the variable names that placeholders of the corpus carry;
+  unfilled, if the filler retains one of the variable names that placeholders of the corpus carry
+  (where no label stands beside it, if fillers of the same wording hold several such names);
 * ``page``: it speaks of a failing server or of scripts and its frame is a known notice, or recurs in
   at least ``MIN_TEXTS`` different texts, or makes up several whole documents (copies count here);
 * ``filler``: nearly all its letters are filler words.
@@ -203,10 +204,18 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text")
     slots = residue.where("kind = 'slot'")
     # records of the same templates whose slots hold a filler of no known syntax: it is residue if it retains a variable's name
     aligned = found.where("kind = 'open'").join(slots.select("frame").distinct(), "frame", "left_semi").select("key", F.lit("slot").alias("kind"), "frame", "filler")
-    starts = F.explode(F.sequence(F.lit(1), F.length("filler"))).alias("at")
-    parts = aligned.select("filler").distinct().select("filler", starts).select("filler", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length("filler") - F.col("at") + 1)), lambda n: F.substring("filler", F.col("at"), n))).alias("name"))
-    named = parts.join(_names(slots), "name", "left_semi").select("filler").distinct()
-    unnamed = aligned.join(named, "filler", "left_semi").select("key", "kind", "frame", "filler")
+    names = cut_lineage(_names(slots))
+    lengths = sorted(r["n"] for r in names.select(F.length("name").alias("n")).distinct().collect())  # no more than the longest name has characters
+    places = F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n")
+    starts = F.explode(F.when(F.length("filler") >= F.col("n"), F.sequence(F.lit(1), F.length("filler") - F.col("n") + 1))).alias("at")
+    parts = aligned.select("filler").distinct().select("filler", places).select("filler", "n", starts).select("filler", F.substring("filler", F.col("at"), F.col("n")).alias("name"))
+    named = cut_lineage(parts.join(names, "name", "left_semi").distinct().withColumn("wrapper", F.replace("filler", F.col("name"), F.lit("⟨⟩"))))
+    # without a label beside it a bracketed remark may hold such a word too: there its wrapper must hold several names
+    several = named.groupBy("wrapper").agg(F.count_distinct("name").alias("n")).where("n > 1").select("wrapper")
+    bare = F.col("frame") == "⟨⟩"
+    labelled = aligned.where(~bare).join(named.select("filler").distinct(), "filler", "left_semi")
+    unlabelled = aligned.where(bare).join(named.join(several, "wrapper", "left_semi").select("filler").distinct(), "filler", "left_semi")
+    unnamed = labelled.unionByName(unlabelled).select("key", "kind", "frame", "filler")
     return residue.unionByName(unnamed).withColumnRenamed("key", key)
 
 

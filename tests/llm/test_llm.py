@@ -471,8 +471,9 @@ def test_residue_of_unlisted_syntax_long_units_and_repeated_pages(spark):
     rows += ["From: {{title}}", "From: <<title>>", "From: ${title}"]
     rows += ["This is real content " * 6 + "{{customer_name}} and more text of it", "Our style guide says a draft may show {{ name }} in the place of a name, but print never does " * 3]
     rows += ["test - test - test - test - test", "Warning: cannot reach /var/www/a.php on line 3", "Blindtext Blindtext Blindtext Blindtext"]
+    rows += ["{{title}}\nOne.", "(title page missing)\nTwo.", "(put title in this box)\nThree.", "(put author in this box)\nFour.", "From: {{author}}", "From: <<author>>", "From: ${author}"]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
-    assert {r.doc_id for r in residue.find_residue(docs).select("doc_id").distinct().collect()} == {0, 1, 2, 4, 5, 6, 7, 9, 10, 11}
+    assert {r.doc_id for r in residue.find_residue(docs).select("doc_id").distinct().collect()} == {0, 1, 2, 4, 5, 6, 7, 9, 10, 11, 12, 14, 15, 16, 17, 18}
 
 
 def test_garbled_preselection_is_the_segment_test():
