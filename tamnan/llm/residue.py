@@ -67,7 +67,7 @@ _SYNTAX = re.compile(r"[\w.\s]+")
 _NOTICE_WORDS = (
     "script จาวาสคริปต์ สคริปต์ 脚本 スクリプト स्क्रिप्ट cookies browser คุกกี้ error erreur fehler ข้อผิดพลาด ไม่พบหน้า ไม่พร้อมให้ ปิดปรับปรุง ถูกย้าย ถูกลบ 错误 页面 エラー ページ त्रुटि introuvable forbidden unavailable "
     "traceback exception timeout maintenance construction warning: connection uncaught <html <head <title <body </ retour กลับหน้า 返回首页 เบราว์เซอร์"
-).split() + ["not found", "nicht gefunden", "access denied", "permission to", "bad gateway", "timed out", "time out", "stack trace", "reference #", "request id", "internal server", "service is", "file \"", "out of memory", "page has been"]
+).split() + ["not found", "nicht gefunden", "access denied", "permission to", "bad gateway", "timed out", "time out", "timedout", "stack trace", "reference #", "request id", "internal server", "service is", "file \"", "out of memory", "page has been"]
 _FILLER_WORDS = (
     "lorem ipsum dolor dolore amet consectetur adipiscing eiusmod incididunt labore aliqua veniam nostrud ullamco asdf qwerty blindtext platzhaltertext beispieltext mustertext ทดสอบ ข้อความตัวอย่าง ตัวหนังสือสมมติ ใส่เนื้อหาตรงนี้ "
     "เนื้อหาจำลองสำหรับจัดหน้า รอเพิ่มเนื้อหา พิมพ์รายละเอียดของท่าน กขคงจฉชซ ใส่ข้อความที่นี่ 示例文本 占位文字 占位符 测试 ダミーテキスト サンプルテキスト テスト"
@@ -127,7 +127,8 @@ def suspects(text: str) -> list[tuple[str, str, str]]:
     hints = _speaks_of(text)
     repeated = _REPEATED.search(text) is not None
     for u in units(text):
-        if "filler" in hints and _filler_run(u) or repeated and _REPEATED.search(u):
+        own = _speaks_of(u) if hints else hints
+        if "filler" in own and _filler_run(u) or repeated and _REPEATED.search(u):
             out.append(("filler", "filler", u[:40]))
             continue
         slots = [m for m in PLACEHOLDER.finditer(u)] if _SIGIL.search(u) else []
@@ -140,7 +141,7 @@ def suspects(text: str) -> list[tuple[str, str, str]]:
                 out.append(("alone" if lone else "slot", _frame(PLACEHOLDER.sub("⟨⟩", u)), m.group(0)))
         elif (m := _BRACKETED.search(u)) and _NAME.search(m.group(0)):
             out.append(("open", _frame(u[: m.start()]) + "⟨⟩", m.group(0)))
-        if "notice" not in hints:
+        if "notice" not in own:
             continue
         if (m := KNOWN.search(u)) and _letters(u[: m.start()]) <= 20:
             out.append(("page", _frame(u[: m.end()]), u[: m.end()]))
