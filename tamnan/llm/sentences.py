@@ -203,7 +203,7 @@ def sentence_ends(text: str | None, openers: Openers | None = None) -> list[int]
                 stack.clear()
             else:
                 line = text[text.rfind("\n", 0, a) + 1 : a]
-                if _LISTED.match(text, b) and _UNFINISHED.search(text[start:a].rstrip()):
+                if _LISTED.match(text, b) and _UNFINISHED.search(text[max(start, a - 40) : a].rstrip()):
                     continue
                 if _HEADING.match(text, b) or (_HEADING.match(line) and len(line) <= 70 and not stack and line[-1:] not in ",;"):
                     emit(a)
