@@ -31,8 +31,8 @@ _SCALES = {"สิบ": 10, "ร้อย": 100, "พัน": 1_000, "หมื
 def thai_number(words: str | None) -> int | None:
     """The value of a Thai number in words; None where a part is no number word.
 
-    >>> thai_number("สองแสนห้าหมื่น")
-    250000
+    >>> thai_number("เจ็ดพันสี่ร้อยเก้า")
+    7409
     """
     if not words:
         return None

@@ -97,7 +97,7 @@ def test_budget_lets_a_later_smaller_item_fit():
     assert chunks.budget_pick([(0, 50, 0), (1, 70, 0), (2, 40, 0), (3, 30, 1)], 120) == [0, 2, 3]
 
 
-@pytest.mark.parametrize("words,value", [("สามสิบ", 30), ("ยี่สิบเอ็ด", 21), ("หนึ่งแสน", 100000), ("สองแสนห้าหมื่น", 250000), ("สองล้านห้าแสน", 2500000), ("แมว", None), ("", None), (None, None)])
+@pytest.mark.parametrize("words,value", [("เจ็ดสิบ", 70), ("สี่สิบเอ็ด", 41), ("แปดหมื่น", 80000), ("หกหมื่นแปดสิบสี่", 60084), ("เก้าล้านสามพัน", 9003000), ("แมว", None), ("", None), (None, None)])
 def test_thai_numbers(words, value):
     assert verify.thai_number(words) == value
 
