@@ -40,6 +40,59 @@ for _c in _NEAR:
     _LOOKALIKE.pop(_c, None)
 
 
+#: Letters beyond ASCII that the Unicode confusables data (16.0, ICU 77.1) draw like one ASCII letter, by their code points: what ``prototypes`` reads,
+#: stored so that no result depends on the driver's class path.
+_DRAWN = {
+    "A": "15C5 102A0 16F40",
+    "B": "13F4 15F7 10282 102A1 10301",
+    "C": "13DF 2CA4 102A2 10302 10415 1051C",
+    "D": "13A0 15DE 15EA",
+    "E": "13AC 2D39 10286 118A6 118AE",
+    "F": "3DC 15B4 10287 102A5 10525 118A2 118C2",
+    "G": "50C 13C0 13F3",
+    "H": "13BB 157C 2C8E 102CF",
+    "I": "196 2C92",
+    "J": "37F 13AB 148D",
+    "K": "13E6 16D5 212A 2C94 10518",
+    "L": "13DE 14AA 2CD0 1041B 10526 118A3 118B2 16F16",
+    "M": "3FA 13B7 15F0 16D6 2C98 102B0 10311",
+    "N": "2C9A 10513",
+    "O": "555 B20 12D0 2C9E 2D54 10292 102AB 10404 104C2 10516 118B5",
+    "P": "13E2 146D 2CA2 10295",
+    "Q": "2D55",
+    "R": "1A6 13A1 13D2 1587 104B4 16F35",
+    "S": "54F 13D5 13DA 10296 10420 16F3A",
+    "T": "13A2 2CA6 10297 102B1 10315 118BC 16F0A",
+    "U": "54D 1200 144C 104CE 118B8 16F42",
+    "V": "474 13D9 142F 2D38 1051D 118A0 16F08",
+    "W": "13D4",
+    "X": "16B7 2CAC 2D5D 10290 102B4 10317 10527",
+    "Y": "3D2 4AE 13A9 13BD 2CA8 102B2 118A4 16F43",
+    "Z": "13C3 118A9",
+    "b": "184 42C 13CF 1472 15AF",
+    "c": "1D04 2CA5 1043D",
+    "d": "13E7 146F",
+    "e": "4BD",
+    "f": "584 1E9D",
+    "g": "18D 581 1D83",
+    "h": "570 13C2",
+    "i": "269 26A 13A5 1FBE 118C3",
+    "l": "1C0 5D5 5DF 627 7CA 16C1 2D4F FE8D FE8E 1028A 10309 16F28",
+    "n": "578 57C",
+    "o": "585 5E1 647 6BE 6C1 6D5 D20 101D 10FF 1D0F 1D11 2C9F FBA6 FBA7 FBA8 FBA9 FBAA FBAB FBAC FBAD FEE9 FEEA FEEB FEEC 1042C 104EA 118C8 118D7",
+    "p": "3F1 2CA3",
+    "q": "563 566",
+    "r": "1D26 2C85",
+    "s": "1BD 10448 118C1",
+    "u": "28B 57D 1D1C 104F6 118D8",
+    "v": "5D8 1D20 11706 118C0",
+    "w": "26F 461 561 1D21 1170A 1170E 1170F",
+    "x": "1541 157D",
+    "y": "263 28F 4AF 10E7 1D8C 1EFF 118DC",
+    "z": "1D22 118C4",
+}
+
+
 def _prototypes() -> dict[int, str | None]:
     table: dict[int, str | None] = {ord(k): v for k, v in _LOOKALIKE.items()}
     for cp in range(0xFF01, 0xFF5F):
@@ -58,25 +111,28 @@ def _prototypes() -> dict[int, str | None]:
     return table
 
 
-PROTOTYPES = _prototypes()
+_FIXED = _prototypes()
+PROTOTYPES = _FIXED | {int(x, 16): like for like, points in _DRAWN.items() for x in points.split()}
 
 
 def prototypes(spark: SparkSession) -> dict[int, str | None]:
-    """``PROTOTYPES`` with all letters beyond ASCII that the Unicode confusables data, which Spark's ICU carries, draw like one ASCII letter.
+    """``PROTOTYPES`` read anew from the Unicode confusables data of Spark's ICU: what ``_DRAWN`` is written from and tested against.
 
-    Where the driver's class path has no ICU it is ``PROTOTYPES`` alone.
+    Letters are those up to U+1FFFF without Thai, Lao and U+3040 to U+D7AF.  No query calls it; it raises where the driver's class path has no ICU.
     """
-    letters = [chr(cp) for cp in range(0x80, 0x20000) if cp not in PROTOTYPES and unicodedata.category(chr(cp)) in ("Lu", "Ll", "Lt", "Lo") and not 0x0E00 <= cp < 0x0F00 and not 0x3040 <= cp < 0xD7B0]
+    letters = [chr(cp) for cp in range(0x80, 0x20000) if cp not in _FIXED and unicodedata.category(chr(cp)) in ("Lu", "Ll", "Lt", "Lo") and not 0x0E00 <= cp < 0x0F00 and not 0x3040 <= cp < 0xD7B0]
     try:
-        drawn = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton(1, "\n".join(letters)).split("\n")
-    except TypeError:  # no such class
-        return PROTOTYPES
-    table = dict(PROTOTYPES)
-    for c, like in zip(letters, drawn):
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except TypeError as e:  # no such class
+        raise RuntimeError("the driver's class path has no ICU to read the Unicode confusables data from") from e
+    table = dict(_FIXED)
+    for c, like in zip(letters, checker.getSkeleton(1, "\n".join(letters)).split("\n"), strict=True):
         if len(like) == 1 and like.isascii() and like.isalpha() and c not in _NEAR and len(unicodedata.normalize("NFD", c)) == 1:
             # the data have one prototype for capital i and small l
             table[ord(c)] = "I" if like == "l" and unicodedata.category(c) == "Lu" else like
     return table
+
+
 _UNDRAWN = re.compile("[" + "".join(re.escape(chr(cp)) for cp, v in PROTOTYPES.items() if v is None) + "]")
 _TONE_FIRST = re.compile("([\u0e48-\u0e4c]+)([\u0e31\u0e34-\u0e3a\u0e47\u0e4d]+)")
 _PLAIN = re.compile("^[\t\n !-&(-_a-~]*$")
@@ -111,13 +167,11 @@ def normalised(rows: DataFrame, columns: list[str]) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     extra = ", ".join(f"`{c}_norm` string, `{c}_skeleton` string" for c in columns)
 
-    table = rows.sparkSession.sparkContext.broadcast(prototypes(rows.sparkSession))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for c in columns:
-                b[f"{c}_norm"] = [normal_form(x, table.value) for x in b[c].tolist()]
-                b[f"{c}_skeleton"] = [skeleton(x, table.value) for x in b[c].tolist()]
+                b[f"{c}_norm"] = [normal_form(x) for x in b[c].tolist()]
+                b[f"{c}_skeleton"] = [skeleton(x) for x in b[c].tolist()]
             yield b
 
     return rows.mapInPandas(run, f"{schema}, {extra}")
@@ -126,8 +180,6 @@ def normalised(rows: DataFrame, columns: list[str]) -> DataFrame:
 def _keys(rows: DataFrame, key: str, text: str, field: str) -> DataFrame:
     """(field, id, s, v): 128-bit hashes of the skeleton and of the value; texts don't go into the shuffle."""
 
-    table = rows.sparkSession.sparkContext.broadcast(prototypes(rows.sparkSession))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -136,7 +188,7 @@ def _keys(rows: DataFrame, key: str, text: str, field: str) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "id": b["id"],
-                    "s": [xxhash.xxh3_128_digest((skeleton(x, table.value) or "").encode("utf-8", "surrogatepass")) for x in vals],
+                    "s": [xxhash.xxh3_128_digest((skeleton(x) or "").encode("utf-8", "surrogatepass")) for x in vals],
                     "v": [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in vals],
                 }
             )

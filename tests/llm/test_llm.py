@@ -579,6 +579,25 @@ def test_prototypes_of_other_scripts_and_classes(spark):
     assert {(r.id, r.class_id, r.links) for r in confusables.lookalike_classes(groups).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
 
 
+def test_lookalikes_do_not_depend_on_icu(spark, monkeypatch):
+    assert confusables.prototypes(spark) == confusables.PROTOTYPES
+    jvm = spark._jvm
+
+    class WithoutIcu:
+        com = jvm.absent
+
+        def __getattr__(self, name):
+            return getattr(jvm, name)
+
+    monkeypatch.setattr(spark, "_jvm", WithoutIcu())
+    with pytest.raises(RuntimeError, match="ICU"):
+        confusables.prototypes(spark)
+    df = spark.createDataFrame([(1, "loop"), (2, "lօօp"), (3, "lⲟⲟp"), (4, "lo")], "doc_no bigint, short string")
+    groups = confusables.lookalike_groups([(df, "doc_no", "short", "f")])
+    assert {(r.id_a, r.id_b) for r in confusables.lookalike_pairs(groups).collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert {(r.short_norm, r.short_skeleton) for r in confusables.normalised(df, ["short"]).collect()} == {("loop", "loop"), ("lo", "lo")}
+
+
 def test_leaking_spans_are_cut_out(spark):
     item = "Which committee signs the seventh amendment of the cabling plan, and when does it take effect in schools?"
     docs = spark.createDataFrame([(1, f"Before it. {item.upper()} After it."), (2, "Nothing here."), (3, None), (None, "x")], "doc_id bigint, text string")
